@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The dashboard this engine re-expresses has no stream, watermark, window or
+state; every view recomputes from the current ledger.  An upload is a batch
+(``sources.csv`` + ``sources.collection.replace_ledger``).  Nothing is added
+here so the operator set stays the reference's.
+"""
