@@ -200,3 +200,95 @@ SELECT count(*) AS n_rows,
 SELECT *, CAST(to_json(struct_pack("Date" := {ts_text('"Date"')}, "Description" := "Description",
        "Amount" := "Amount", "Category" := "Category", "Type" := "Type")) AS VARCHAR) AS record FROM ledger""",
 }
+
+
+def na(x: str) -> str:
+    from ..schema import NA_TOKENS
+
+    tokens = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+    return f"(CASE WHEN {x} IN ({tokens}) THEN NULL ELSE {x} END)"
+
+
+EVENTS_RAW = """SELECT ts AS "Date", props AS "Description", value AS "Amount", event_type AS "Category",
+       CASE event_type WHEN 'signup' THEN 'Income' WHEN 'purchase' THEN 'Expense' ELSE event_type END AS "Type"
+FROM events"""
+
+SQ_DIST = """list_reduce(list_transform(list_zip(a.embedding, b.embedding),
+    lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))),
+    lambda acc, v: acc + v)"""
+KNN_ALL = f"""knn AS (
+  SELECT query_id, rank, row_id, distance, text FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS row_id, {SQ_DIST} AS distance,
+           'Record ' || b.vec_id || ', label ' || b.label AS text,
+           row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQ_DIST}, b.vec_id) AS rank
+    FROM embeddings a, embeddings b) WHERE rank <= 5)"""
+CONTEXT = """ctx AS (
+  SELECT e.vec_id AS query_id, COALESCE(string_agg(knn.text, chr(10) ORDER BY knn.rank), 'No data found.') AS context
+  FROM embeddings e LEFT JOIN knn ON knn.query_id = e.vec_id GROUP BY e.vec_id)"""
+PENDING = """pending AS (
+  SELECT conv_id, turn, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+  WHERE rn = 1 AND role = 'user')"""
+SYSTEM = (
+    "Today''s Date is 2026-01-01 00:00:00. Assume queries about ''this month'' refer to January. "
+    "Always format currency in Indian Rupees (₹)."
+)
+PROMPT_HEAD_SQL = "'You are a helpful financial assistant.' || chr(10) || 'Transaction Data:' || chr(10)"
+DEMO = {
+    "Description": ["Salary", "Rent", "Groceries", "Uber", "Netflix", "Dividends", "Gym", "Dining Out", "Flight", "Consulting"],
+    "Amount": [5000, 2000, 300, 45, 15, 150, 60, 120, 400, 1500],
+    "Category": ["Income", "Rental", "Grocery", "Travel", "Entertainment", "Investments", "Health", "Food", "Travel", "Business"],
+    "Type": ["Income", "Expense", "Expense", "Expense", "Expense", "Income", "Expense", "Expense", "Expense", "Income"],
+}
+
+
+def _pick(col: str) -> str:
+    vals = DEMO[col]
+    lit = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in vals)
+    expr = f"list_extract([{lit}], CAST(id % 10 + 1 AS INTEGER))"
+    return f"CAST({expr} AS DOUBLE)" if col == "Amount" else expr
+
+
+ORACLE.update(
+    {
+        "csv_scan": f"""WITH {DIRTY_ORDERS}, raw AS (
+  SELECT {na('" date "')} AS d, {na('"DESCRIPTION"')} AS "Description", {na('"Amount"')} AS a,
+         {na('"category"')} AS "Category", {na('order_key')} AS "Order_Key" FROM dirty_orders)
+SELECT CAST(NULLIF(trim(d), '') AS TIMESTAMP) AS "Date", "Description", {amount_expr('a')} AS "Amount", "Category",
+       {type_expr('"Category"', '"Description"')} AS "Type", "Order_Key" FROM raw""",
+        "sync_collection": EVENTS_RAW,
+        "read_collection": f"""SELECT ts AS "Date", props AS "Description", value AS "Amount", event_type AS "Category",
+       CASE event_type WHEN 'signup' THEN 'Income' ELSE 'Expense' END AS "Type", CAST(NULL AS BIGINT) AS user_id
+FROM events WHERE event_type IN ('signup', 'purchase')
+UNION ALL
+SELECT ts, props, value, event_type, NULL, user_id FROM events WHERE event_type NOT IN ('signup', 'purchase')""",
+        "replace_ledger": f"WITH {LEDGER} SELECT * FROM ledger",
+        "demo_ledger": f"""SELECT TIMESTAMP '2026-01-01 00:00:00' - (n - 1 - id) * INTERVAL 1 DAY AS "Date",
+       {_pick('Description')} AS "Description", {_pick('Amount')} AS "Amount",
+       {_pick('Category')} AS "Category", {_pick('Type')} AS "Type"
+FROM (SELECT row_number() OVER () - 1 AS id, count(*) OVER () AS n FROM orders)""",
+        "pending_turns": f"WITH {PENDING} SELECT * FROM pending",
+        "append_answers": f"""WITH {PENDING}
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT conv_id, turn + 1, 'assistant', 'Received: ' || text FROM pending""",
+        "knn": f"WITH {KNN_ALL} SELECT query_id, rank, row_id, distance FROM knn",
+        "knn_lookup": f"""WITH {KNN_ALL}
+SELECT knn.query_id, knn.rank, knn.row_id, knn.distance, e.label FROM knn JOIN embeddings e ON e.vec_id = knn.row_id""",
+        "knn_small_corpus": f"""WITH reps AS (
+  SELECT label, min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)
+SELECT query_id, rank, row_id, distance FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS row_id, {SQ_DIST} AS distance,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQ_DIST}, b.vec_id) AS rank
+  FROM embeddings a, reps b) WHERE rank <= 5""",
+        "assemble_context": f"WITH {KNN_ALL}, {CONTEXT} SELECT * FROM ctx",
+        "build_prompts": f"""WITH {KNN_ALL}, {CONTEXT}, q AS (
+  SELECT vec_id AS query_id,
+         '{SYSTEM}' || chr(10) || chr(10) || 'User Query: ' || 'Which records are closest to record ' || vec_id || '?' AS question
+  FROM embeddings)
+SELECT q.query_id, q.question, ctx.context,
+       {PROMPT_HEAD_SQL} || ctx.context || chr(10) || chr(10) || 'User Question: ' || q.question AS prompt
+FROM q JOIN ctx ON q.query_id = ctx.query_id""",
+        "cache_misses": """SELECT DISTINCT md5(text) AS fp, text FROM documents
+WHERE text IS NOT NULL AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL)""",
+    }
+)

@@ -240,3 +240,195 @@ def q_dataset_fingerprint(spark, d):
 @register("records_json")
 def q_records_json(spark, d):
     return text.records_json(A.ledger_events(spark, d))
+
+
+# --- sources and sinks (write to shared scratch, read back) -------------------
+
+
+@register("csv_scan")
+def q_csv_scan(spark, d):
+    from ..session import scratch_path
+    from ..sources.csv import read_ledger_csv, write_csv
+
+    path = write_csv(A.dirty_orders(spark, d), scratch_path(spark, "upload"))
+    return read_ledger_csv(spark, path)
+
+
+@register("sync_collection")
+def q_sync_collection(spark, d):
+    from ..session import scratch_path
+    from ..sources.collection import append_collection, read_collection
+
+    path = scratch_path(spark, "collection")
+    append_collection(A.ledger_events(spark, d), path)
+    return read_collection(spark, path)
+
+
+@register("read_collection")
+def q_read_collection(spark, d):
+    """Two batches with different keys in one collection; reading gives the union of keys."""
+    from ..session import scratch_path
+    from ..sources.collection import append_collection, read_collection
+
+    path = scratch_path(spark, "collection")
+    led = A.ledger_events(spark, d, extra=("user_id",))
+    typed = F.col(CATEGORY).isin("signup", "purchase")
+    append_collection(led.where(typed).drop("user_id"), path)
+    append_collection(led.where(~typed).drop(TYPE), path)
+    return read_collection(spark, path)
+
+
+@register("replace_ledger")
+def q_replace_ledger(spark, d):
+    from ..session import scratch_path
+    from ..sources.collection import read_current_ledger, replace_ledger
+
+    root = scratch_path(spark, "ledger")
+    replace_ledger(A.ledger_events(spark, d), root)
+    replace_ledger(A.ledger(spark, d), root)
+    return read_current_ledger(spark, root)
+
+
+@register("demo_ledger")
+def q_demo_ledger(spark, d):
+    """The demo pattern over as many days as there are orders, ending at the fixed clock."""
+    from ..sources.demo import demo_ledger
+
+    n = A.table(spark, d, "orders").count()
+    return demo_ledger(spark, n, AS_OF)
+
+
+# --- conversations, retrieval, prompts ---------------------------------------
+
+
+def _embeddings(spark, d):
+    e = A.table(spark, d, "embeddings")
+    return (
+        e.select(F.col("vec_id").alias("query_id"), "embedding"),
+        e.select(
+            F.col("vec_id").alias("row_id"),
+            "embedding",
+            F.format_string("Record %d, label %d", F.col("vec_id"), F.col("label")).alias("text"),
+        ),
+    )
+
+
+@register("pending_turns")
+def q_pending_turns(spark, d):
+    from ..operators.conversation import pending_turns
+
+    return pending_turns(A.table(spark, d, "conversations"))
+
+
+@register("append_answers")
+def q_append_answers(spark, d):
+    """Echo answers (stand-in for the hosted model) appended after each pending question."""
+    from ..operators.conversation import append_answers, pending_turns
+
+    conv = A.table(spark, d, "conversations")
+    answers = pending_turns(conv).select("conv_id", "turn", F.concat(F.lit("Received: "), F.col("text")).alias("text"))
+    return append_answers(conv, answers)
+
+
+@register("knn")
+def q_knn(spark, d):
+    from ..operators.knn import knn
+
+    queries, corpus = _embeddings(spark, d)
+    return knn(queries, corpus.drop("text"))
+
+
+@register("knn_lookup")
+def q_knn_lookup(spark, d):
+    labels_ = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
+    return q_knn(spark, d).join(labels_, "row_id")
+
+
+@register("knn_small_corpus")
+def q_knn_small_corpus(spark, d):
+    """k above the corpus size: one representative vector per label, every vector as a query."""
+    from ..operators.knn import knn
+
+    e = A.table(spark, d, "embeddings")
+    reps = e.groupBy("label").agg(F.min("vec_id").alias("row_id"), F.min_by("embedding", "vec_id").alias("embedding"))
+    return knn(e.select(F.col("vec_id").alias("query_id"), "embedding"), reps.select("row_id", "embedding"), k=5)
+
+
+@register("assemble_context")
+def q_assemble_context(spark, d):
+    from ..operators.knn import knn
+    from ..operators.prompts import assemble_context
+
+    queries, corpus = _embeddings(spark, d)
+    return assemble_context(knn(queries, corpus, payload=("text",)), queries)
+
+
+@register("build_prompts")
+def q_build_prompts(spark, d):
+    from ..operators.prompts import build_prompts, with_system_context
+
+    e = A.table(spark, d, "embeddings")
+    q = F.format_string("Which records are closest to record %d?", F.col("vec_id"))
+    questions = e.select(F.col("vec_id").alias("query_id"), with_system_context(q, AS_OF).alias("question"))
+    return build_prompts(questions.join(q_assemble_context(spark, d), "query_id"))
+
+
+@register("embed_texts")
+def q_embed_texts(spark, d):
+    from ..operators.embed import embed_texts
+
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    return embed_texts(docs).select("doc_id", "embedding")
+
+
+@register("embed_cached")
+def q_embed_cached(spark, d):
+    from ..operators.embed import embed_cached
+    from ..session import scratch_path
+
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    out, _ = embed_cached(docs, scratch_path(spark, "embed-cache"))
+    return out.select("doc_id", "fp", "embedding")
+
+
+@register("cache_misses")
+def q_cache_misses(spark, d):
+    """Cache filled from the English documents; the misses are every other distinct text."""
+    from ..operators.embed import cache_misses, fill_cache
+    from ..session import scratch_path
+
+    docs = A.table(spark, d, "documents")
+    cache = scratch_path(spark, "embed-cache")
+    fill_cache(docs.where(F.col("lang") == "en"), cache)
+    return cache_misses(docs, cache)
+
+
+def _ledger_index(spark, d) -> DataFrame:
+    from ..session import scratch_path
+    from .rag import ingest
+
+    done = ingest(A.ledger(spark, d), scratch_path(spark, "index"), scratch_path(spark, "embed-cache"))
+    return spark.read.parquet(done.path)
+
+
+@register("ingest")
+def q_ingest(spark, d):
+    return _ledger_index(spark, d)
+
+
+@register("retrieve")
+def q_retrieve(spark, d):
+    from ..operators.conversation import pending_turns
+    from ..operators.prompts import with_system_context
+    from .rag import retrieve
+
+    pend = pending_turns(A.table(spark, d, "conversations"))
+    qs = pend.select(F.col("conv_id").alias("query_id"), with_system_context(F.col("text"), AS_OF).alias("question"))
+    return retrieve(qs, _ledger_index(spark, d))
+
+
+@register("rag_batch")
+def q_rag_batch(spark, d):
+    from .rag import rag_batch
+
+    return rag_batch(A.table(spark, d, "conversations"), _ledger_index(spark, d), AS_OF)

@@ -34,8 +34,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a ledger; types other than signup/purchase pass through as-is."""
+def ledger_events(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``events`` as a ledger; types other than signup/purchase pass through as-is.
+
+    ``extra`` names further ``events`` columns to carry along.
+    """
     ev = table(spark, sf_dir, "events")
     t = (
         F.when(F.col("event_type") == "signup", F.lit(INCOME))
@@ -48,6 +51,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias(AMOUNT),
         F.col("event_type").alias(CATEGORY),
         t.alias(TYPE),
+        *extra,
     )
 
 
