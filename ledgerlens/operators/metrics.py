@@ -2,30 +2,46 @@
 
 Every measure is one declarative aggregate over one scan (partial aggregate
 per task, one small shuffle of partial states).  Money is summed as exact
-cents (``DECIMAL(18,2)``) so the result does not depend on partitioning, and
-reported as double.  Sums over no rows are 0, not null.
+cents (integer count, decimal total) so the result does not depend on
+partitioning, and reported as double.  Sums over no rows are 0, not null.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import currency, day_label, icon_class, icon_glyph, month_key, month_short, month_start, month_year, sign
-from ..schema import AMOUNT, CATEGORY, DATE, DESCRIPTION, EXPENSE, INCOME, LEDGER_COLUMNS, MONEY, RECENT_N, TOP_N, TYPE
+from ..schema import AMOUNT, CATEGORY, DATE, DESCRIPTION, EXPENSE, INCOME, LEDGER_COLUMNS, RECENT_N, TOP_N, TYPE
 
 
 
+# Amounts at or beyond this magnitude have no exact cent count in a long; they
+# count as null (left out of sums) instead of failing the job.
+CENT_LIMIT = 9.0e15
+CENTS = T.DecimalType(18, 0)
+ONE_CENT = Decimal("0.01")
+
+
 def _zero() -> Column:
-    return F.lit(0).cast(MONEY)
+    return F.lit(0).cast(CENTS)
 
 
 def cents(c: Column | None = None) -> Column:
-    """Amount as exact cents; an amount outside DECIMAL(18,2) becomes null, not a job failure."""
-    return (F.col(AMOUNT) if c is None else c).try_cast(MONEY)
+    """Amount as an exact count of cents (half away from zero), typed DECIMAL(18,0).
+
+    Computed with primitive double/long arithmetic (Spark's double->decimal
+    cast formats every value as text first).  Summing DECIMAL(18,0) gives a
+    DECIMAL(28,0) total: exact, order-free, and no long overflow at any scale.
+    """
+    x = F.col(AMOUNT) if c is None else c
+    units = F.floor(F.abs(x) * F.lit(100.0) + F.lit(0.5))
+    signed = F.when(x < 0, -units).otherwise(units)
+    return F.when(F.abs(x) < F.lit(CENT_LIMIT), signed).cast(CENTS)
 
 
 def money_sum(cond: Column | None = None) -> Column:
@@ -33,9 +49,14 @@ def money_sum(cond: Column | None = None) -> Column:
     return F.sum(cents() if cond is None else F.when(cond, cents()))
 
 
+def to_money(c: Column) -> Column:
+    """A cent count (null = 0) as currency units in double."""
+    return (F.coalesce(c, _zero()) * F.lit(ONE_CENT)).cast("double")
+
+
 def as_money(c: Column) -> Column:
-    """Decimal sum -> double, 0 for no rows."""
-    return F.coalesce(c, _zero()).cast("double")
+    """Decimal sum of cents -> double currency units, 0 for no rows."""
+    return to_money(c)
 
 
 def _ntz(value) -> Column:
@@ -70,9 +91,9 @@ def kpi_totals(ledger: DataFrame) -> DataFrame:
     )
     inc, exp = F.coalesce(F.col("_inc"), _zero()), F.coalesce(F.col("_exp"), _zero())
     return agg.select(
-        inc.cast("double").alias("income"),
-        exp.cast("double").alias("expense"),
-        (inc - exp).cast("double").alias("balance"),
+        to_money(inc).alias("income"),
+        to_money(exp).alias("expense"),
+        to_money(inc - exp).alias("balance"),
         "txn_count",
     )
 
@@ -106,9 +127,9 @@ def monthly_net(ledger: DataFrame) -> DataFrame:
         "month",
         month_key(F.col("month")).alias("month_key"),
         month_short(F.col("month")).alias("label"),
-        inc.cast("double").alias("income"),
-        exp.cast("double").alias("expense"),
-        (inc - exp).cast("double").alias("net"),
+        to_money(inc).alias("income"),
+        to_money(exp).alias("expense"),
+        to_money(inc - exp).alias("net"),
     ).orderBy("month")
 
 
@@ -147,7 +168,7 @@ def top_expense_category(ledger: DataFrame) -> DataFrame:
     best = g.agg(F.min(F.struct((-F.coalesce(F.col("_amt"), _zero())).alias("neg"), F.col(CATEGORY).alias("cat"))).alias("b"))
     return best.select(
         F.coalesce(F.col("b.cat"), F.lit("None")).alias(CATEGORY),
-        F.coalesce((-F.col("b.neg")).cast("double"), F.lit(0.0)).alias("amount"),
+        to_money(-F.col("b.neg")).alias("amount"),
     )
 
 
