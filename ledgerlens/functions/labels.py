@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import AMOUNT, CATEGORY, CURRENCY_SYMBOL, DATE, EXPENSE, ICONS, TYPE
 from .clean import safe_lower
 
 
 def month_start(c: Column) -> Column:
-    """First instant of the month, kept zone-less (bare date_trunc returns LTZ)."""
-    return F.date_trunc("month", c).cast(T.TimestampNTZType())
+    """First instant of the month as TIMESTAMP_NTZ, built from year and month (no session zone involved)."""
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
 def month_key(c: Column) -> Column:

@@ -170,6 +170,12 @@ SELECT * FROM ledger WHERE "Category" = (SELECT "Category" FROM ledger WHERE "Ca
 SELECT "Date", strftime("Date", '%b') AS month_label, strftime("Date", '%d %b') AS day_label,
        strftime("Date", '%A, %d %B %Y') AS long_date, strftime("Date", '%B %Y') AS month_year,
        strftime("Date", '%B') AS month_name
+FROM ledger""",
+    "with_labels": f"""WITH {EVENTS}
+SELECT *, CAST(date_trunc('month', "Date") AS TIMESTAMP) AS month, strftime("Date", '%Y-%m') AS month_key,
+       strftime("Date", '%b') AS month_label, strftime("Date", '%d %b') AS day_label,
+       {currency('"Amount"')} AS amount_text, CASE WHEN "Type" = 'Expense' THEN '-' ELSE '+' END AS sign,
+       {icon_class('"Category"', '"Type"')} AS icon, {icon_glyph(icon_class('"Category"', '"Type"'))} AS icon_glyph
 FROM ledger""",
     "format_currency": f"""WITH m AS ({_monthly(LEDGER)})
 SELECT month_key, net, {currency('income')} AS income_text, {currency('expense')} AS expense_text,

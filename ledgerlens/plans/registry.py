@@ -155,6 +155,11 @@ def q_date_labels(spark, d):
     )
 
 
+@register("with_labels")
+def q_with_labels(spark, d):
+    return labels.with_labels(A.ledger_events(spark, d))
+
+
 @register("format_currency")
 def q_format_currency(spark, d):
     m = M.monthly_net(A.ledger(spark, d))
