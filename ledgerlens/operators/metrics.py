@@ -214,10 +214,11 @@ def month_slice(ledger: DataFrame, month) -> DataFrame:
 def _with_share(g: DataFrame) -> DataFrame:
     """Share of each category in the total of the grouped frame.
 
-    The global window runs over the grouped frame (one row per category), never
-    over raw rows.  ``try_divide``: a zero total gives null instead of an error.
+    The total is a scalar subquery over the grouped frame (one value, computed
+    once, reusing the group-by's exchange), so the per-category rows stay
+    distributed.  ``try_divide``: a zero total gives null instead of an error.
     """
-    total = F.sum(F.col("_amt")).over(Window.partitionBy())
+    total = g.agg(F.sum(F.col("_amt"))).scalar()
     amount = as_money(F.col("_amt"))
     return g.select(CATEGORY, amount.alias("amount"), F.try_divide(amount, as_money(total)).alias("share"))
 
