@@ -205,7 +205,10 @@ def month_slice(ledger: DataFrame, month) -> DataFrame:
     pushed filters and row-group statistics.
     """
     start, end = month_bounds(month)
-    return ledger.where((F.col(DATE) >= _ntz(start)) & (F.col(DATE) < _ntz(end)))
+    rows = ledger.where((F.col(DATE) >= _ntz(start)) & (F.col(DATE) < _ntz(end)))
+    if "month_key" in ledger.columns:  # a month-partitioned ledger: prune folders too
+        rows = rows.where(F.col("month_key") == F.lit(start.strftime("%Y-%m")))
+    return rows
 
 
 # --- A5, A6, E17 -------------------------------------------------------------

@@ -21,6 +21,7 @@ from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC, SYNC_COMMIT
 from .csv import require_columns
 
 ID = "_id"
+MONTH_KEY = "month_key"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -95,15 +96,20 @@ def read_collection(
     return df.select(*front, *[c for c in df.columns if c not in front])
 
 
-def replace_ledger(ledger: DataFrame, root: str) -> str:
+def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = False) -> str:
     """Write the ledger as a new version under ``root`` and return its path.
 
     Versions are named by write time, so the newest complete one (with
     ``_SUCCESS``) is the current ledger; readers of older versions are never
-    disturbed.
+    disturbed.  ``partition_by_month`` adds a ``month_key`` (``yyyy-MM``)
+    directory level, so month views prune whole folders (for large ledgers).
     """
     path = f"{root.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    ledger.write.mode("errorifexists").parquet(path)
+    if partition_by_month:
+        w = ledger.withColumn(MONTH_KEY, F.date_format(F.col(DATE), "yyyy-MM")).write.partitionBy(MONTH_KEY)
+    else:
+        w = ledger.write
+    w.mode("errorifexists").parquet(path)
     return path
 
 

@@ -94,3 +94,18 @@ def test_csv_folder_round_trip(spark):
         assert "Missing columns" in str(e)
     else:
         raise AssertionError("expected missing columns")
+
+
+def test_month_partitioned_ledger_prunes(spark):
+    from conftest import explain
+
+    from ledgerlens.operators import metrics as M
+
+    root = scratch_path(spark, "ledger")
+    replace_ledger(A.ledger(spark, SF01), root, partition_by_month=True)
+    led = read_current_ledger(spark, root)
+    assert "month_key" in led.columns
+    sl = M.month_slice(led, "2001-11")
+    plan = explain(sl)
+    assert "PartitionFilters: [isnotnull(month_key" in plan and "(month_key#" in plan
+    assert sl.count() == M.month_slice(A.ledger(spark, SF01), "2001-11").count()
