@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import SF01, explain
+from conftest import SF01, explain, nodes
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import infer_type
@@ -11,11 +11,6 @@ from ledgerlens.operators.knn import knn
 from ledgerlens.sources import adapters as A
 
 
-def nodes(plan: str, name: str) -> int:
-    """Operators of a formatted plan (its numbered detail lines)."""
-    return sum(1 for line in plan.splitlines() if line.startswith("(") and line.split(") ", 1)[-1].startswith(name))
-
-
 def test_month_slice_pushes_range(spark):
     plan = explain(M.month_slice(A.ledger(spark, SF01), dt.date(2001, 11, 1)))
     assert "GreaterThanOrEqual(l_shipdate,2001-11-01T00:00)" in plan
