@@ -9,11 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """Session for tests and the bench: UTC, AQE on, UI off, Arrow on."""
+def local_session(cores: int | str = "*", shuffle_partitions: int | None = None, max_failures: int = 1) -> SparkSession:
+    """Session for tests and the bench: UTC, AQE on, UI off, Arrow on.
+
+    ``max_failures > 1`` lets local mode retry failed tasks (as a cluster does).
+    """
     n = os.cpu_count() if cores == "*" else int(cores)
+    master = f"local[{cores}]" if max_failures <= 1 else f"local[{cores},{int(max_failures)}]"
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.master(master)
         .appName("ledgerlens")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -15,7 +15,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from ledgerlens.session import local_session
 
-    s = local_session("*", shuffle_partitions=8)
+    s = local_session("*", shuffle_partitions=8, max_failures=4)
     yield s
     s.stop()
 
