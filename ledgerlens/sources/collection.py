@@ -46,8 +46,9 @@ def append_collection(
     """Append every row as one record with its own id; returns the number written.
 
     Ids are random (``uuid()``), or with ``idempotent=True`` a SHA-256 of the
-    record's content, so a re-run writes the same ids and duplicates can be
-    dropped by id.  The count comes from an ``Observation`` of the write
+    record's content, so a re-run writes the same ids and re-sent records can
+    be dropped by id (identical records then share an id: use it only when a
+    record's content identifies it).  The count comes from an ``Observation`` of the write
     itself (no second pass).  Files hold at most ``max_records_per_file``
     records.  Missing required columns raise before anything is written.
     """

@@ -61,6 +61,13 @@ def test_long_row_rejects_load(spark, tmp_path):
         df.select("Amount").collect()
 
 
+@pytest.mark.xfail(reason="Spark's CSV reader reads an empty extra field as null, like a missing one", strict=True)
+def test_trailing_empty_field_rejects_load(spark, tmp_path):
+    df = read_ledger_csv(spark, write(tmp_path, "trail.csv", HEADER + "2024-01-01,Ok,1,Food,\n"))
+    with pytest.raises(Exception):
+        df.collect()
+
+
 def test_duplicate_headers_rejected(spark, tmp_path):
     with pytest.raises(ValueError, match="Duplicate"):
         read_ledger_csv(spark, write(tmp_path, "dup.csv", "Date,date ,Description,Amount,Category\n2024-01-01,x,y,1,z\n"))
