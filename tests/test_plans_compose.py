@@ -48,3 +48,15 @@ def test_explicit_date_format(spark, tmp_path):
     p.write_text("Date,Description,Amount,Category\n13/02/2024,x,1,Food\n01/02/2024,y,2,Food\n")
     got = {r.Description: r.Date for r in read_ledger_csv(spark, str(p), date_format="dd/MM/yyyy").collect()}
     assert got == {"x": dt.datetime(2024, 2, 13), "y": dt.datetime(2024, 2, 1)}
+
+
+def test_empty_ledger_retrieval(spark):
+    from ledgerlens.schema import LEDGER, NO_DATA
+
+    empty = spark.createDataFrame([], LEDGER)
+    done = rag.ingest(empty, scratch_path(spark, "index"), scratch_path(spark, "cache"))
+    assert done.rows == 0 and done.embedded == 0
+    index = spark.read.parquet(done.path)
+    conv = A.table(spark, SF001, "conversations")
+    out = rag.rag_batch(conv, index, dt.datetime(2026, 1, 1)).collect()
+    assert len(out) > 0 and all(r.context == NO_DATA for r in out)
