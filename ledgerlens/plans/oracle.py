@@ -298,3 +298,59 @@ FROM q JOIN ctx ON q.query_id = ctx.query_id""",
 WHERE text IS NOT NULL AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL)""",
     }
 )
+
+
+# --- the hashing embedder in SQL (same tokens, MD5 bucket/sign, norm, float32) ---
+_EMBED_TEMPLATE = r"""@N_tok AS (
+  SELECT @ID AS id, unnest(regexp_split_to_array(lower(@TEXT), '[^\p{L}\p{N}_]+')) AS tok
+  FROM @SRC WHERE @TEXT IS NOT NULL),
+@N_h AS (SELECT id, CAST(('0x' || substr(md5(tok), 1, 16)) AS UBIGINT) AS hv FROM @N_tok WHERE tok <> ''),
+@N_c AS (SELECT id, CAST(hv % 64 AS INTEGER) AS idx,
+                SUM(CASE WHEN hv >= CAST(9223372036854775808 AS UBIGINT) THEN -1 ELSE 1 END) AS cnt
+         FROM @N_h GROUP BY 1, 2),
+@N_v AS (SELECT id, list(struct_pack(i := idx, c := cnt)) AS cells, sqrt(SUM(cnt * cnt)) AS norm FROM @N_c GROUP BY 1),
+@N AS (
+  SELECT s.id, list_transform(range(64), lambda j: CAST(
+           COALESCE(list_sum(list_transform(list_filter(v.cells, lambda e: e.i = j), lambda e: e.c)), 0)
+           / CASE WHEN COALESCE(v.norm, 0) > 0 THEN v.norm ELSE 1 END AS FLOAT)) AS embedding
+  FROM (SELECT DISTINCT @ID AS id FROM @SRC WHERE @TEXT IS NOT NULL) s LEFT JOIN @N_v v ON v.id = s.id)"""
+
+
+def embed_cte(name: str, src: str, id_col: str, text_col: str) -> str:
+    """CTEs ending in ``name(id, embedding)`` for the non-null texts of ``src``."""
+    return _EMBED_TEMPLATE.replace("@N", name).replace("@SRC", src).replace("@ID", id_col).replace("@TEXT", text_col)
+
+
+LEDGER_TEXT = f"""ledger_text AS (SELECT {row_text('"Date"', '"Description"', '"Amount"', '"Category"')} AS text FROM ledger)"""
+QUESTIONS = f"""questions AS (
+  SELECT conv_id, turn, conv_id AS query_id,
+         '{SYSTEM}' || chr(10) || chr(10) || 'User Query: ' || text AS question FROM pending)"""
+HITS = f"""{LEDGER_TEXT},
+corpus_texts AS (SELECT DISTINCT text FROM ledger_text),
+{embed_cte('cemb', 'corpus_texts', 'text', 'text')},
+{QUESTIONS},
+{embed_cte('qemb', 'questions', 'query_id', 'question')},
+hits AS (
+  SELECT query_id, rank, distance, text FROM (
+    SELECT a.id AS query_id, lt.text, {SQ_DIST} AS distance,
+           row_number() OVER (PARTITION BY a.id ORDER BY {SQ_DIST}, lt.text) AS rank
+    FROM qemb a, ledger_text lt JOIN cemb b ON b.id = lt.text) WHERE rank <= 5)"""
+
+ORACLE.update(
+    {
+        "embed_texts": f"WITH {embed_cte('e', 'documents', 'doc_id', 'text')} SELECT id AS doc_id, embedding FROM e",
+        "embed_cached": f"""WITH {embed_cte('e', 'documents', 'doc_id', 'text')}
+SELECT d.doc_id, md5(d.text) AS fp, e.embedding FROM documents d JOIN e ON e.id = d.doc_id""",
+        "ingest": f"""WITH {LEDGER}, {LEDGER_TEXT},
+corpus_texts AS (SELECT DISTINCT text FROM ledger_text),
+{embed_cte('cemb', 'corpus_texts', 'text', 'text')}
+SELECT lt.text, md5(lt.text) AS fp, cemb.embedding FROM ledger_text lt JOIN cemb ON cemb.id = lt.text""",
+        "retrieve": f"WITH {LEDGER}, {PENDING}, {HITS} SELECT * FROM hits",
+        "rag_batch": f"""WITH {LEDGER}, {PENDING}, {HITS},
+ctx AS (SELECT q.query_id, COALESCE(string_agg(h.text, chr(10) ORDER BY h.rank), 'No data found.') AS context
+        FROM questions q LEFT JOIN hits h ON h.query_id = q.query_id GROUP BY q.query_id)
+SELECT q.conv_id, q.turn, q.question, ctx.context,
+       {PROMPT_HEAD_SQL} || ctx.context || chr(10) || chr(10) || 'User Question: ' || q.question AS prompt
+FROM questions q JOIN ctx ON ctx.query_id = q.query_id""",
+    }
+)

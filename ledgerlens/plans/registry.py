@@ -418,7 +418,8 @@ def _ledger_index(spark, d) -> DataFrame:
 
 @register("ingest")
 def q_ingest(spark, d):
-    return _ledger_index(spark, d)
+    """The index rows without their ingest-time row ids (which SQL cannot reproduce)."""
+    return _ledger_index(spark, d).select("text", "fp", "embedding")
 
 
 @register("retrieve")
@@ -429,7 +430,7 @@ def q_retrieve(spark, d):
 
     pend = pending_turns(A.table(spark, d, "conversations"))
     qs = pend.select(F.col("conv_id").alias("query_id"), with_system_context(F.col("text"), AS_OF).alias("question"))
-    return retrieve(qs, _ledger_index(spark, d))
+    return retrieve(qs, _ledger_index(spark, d)).select("query_id", "rank", "distance", "text")
 
 
 @register("rag_batch")
