@@ -51,3 +51,18 @@ def test_knn_has_no_cross_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "FlatMapCoGroupsInArrow" in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_rag_batch_plan(spark):
+    import datetime as dt
+
+    from ledgerlens.plans import rag
+    from ledgerlens.session import scratch_path
+
+    led = A.ledger(spark, SF01)
+    done = rag.ingest(led, scratch_path(spark, "index"), scratch_path(spark, "cache"))
+    df = rag.rag_batch(A.table(spark, SF01, "conversations"), spark.read.parquet(done.path), dt.datetime(2026, 1, 1))
+    plan = explain(df)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan  # no row-at-a-time UDFs
+    assert "MapInArrow" in plan and "FlatMapCoGroupsInArrow" in plan
