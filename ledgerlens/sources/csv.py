@@ -60,7 +60,10 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.option("header", False).csv(path).first()
     if first is None:
         raise ValueError(f"No header in {path}")
-    return [("" if v is None else v) for v in first]
+    names = [("" if v is None else v) for v in first]
+    if names and names[0].startswith("\ufeff"):  # a UTF-8 byte-order mark is not part of the name
+        names[0] = names[0][1:]
+    return names
 
 
 def clean_ledger(raw: DataFrame, date_format: str | None = None, keywords: Iterable[str] = INCOME_KEYWORDS) -> DataFrame:

@@ -68,6 +68,13 @@ def test_trailing_empty_field_rejects_load(spark, tmp_path):
         df.collect()
 
 
+def test_byte_order_mark_header(spark, tmp_path):
+    p = tmp_path / "bom.csv"
+    p.write_bytes("\ufeffDate,Description,Amount,Category\n2024-01-01,x,1,Food\n".encode("utf-8"))
+    r = read_ledger_csv(spark, str(p)).first()
+    assert r.Date == dt.datetime(2024, 1, 1) and r.Amount == 1.0
+
+
 def test_duplicate_headers_rejected(spark, tmp_path):
     with pytest.raises(ValueError, match="Duplicate"):
         read_ledger_csv(spark, write(tmp_path, "dup.csv", "Date,date ,Description,Amount,Category\n2024-01-01,x,y,1,z\n"))
