@@ -38,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we set one of our own.
+    in local mode (tests) do we set one of our own.  On a cluster an unset
+    folder is an error: a machine-local folder would not survive executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")  # local mode only: one machine
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
