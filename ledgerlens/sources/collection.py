@@ -104,10 +104,14 @@ def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = Fals
     ``_SUCCESS``) is the current ledger; readers of older versions are never
     disturbed.  ``partition_by_month`` adds a ``month_key`` (``yyyy-MM``)
     directory level, so month views prune whole folders (for large ledgers).
+    The rows are rebalanced on ``month_key`` first: each month lands in few
+    files instead of one per write task, and AQE splits a hot month over
+    several tasks.
     """
     path = f"{root.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     if partition_by_month:
-        w = ledger.withColumn(MONTH_KEY, F.date_format(F.col(DATE), "yyyy-MM")).write.partitionBy(MONTH_KEY)
+        keyed = ledger.withColumn(MONTH_KEY, F.date_format(F.col(DATE), "yyyy-MM")).hint("rebalance", MONTH_KEY)
+        w = keyed.write.partitionBy(MONTH_KEY)
     else:
         w = ledger.write
     w.mode("errorifexists").parquet(path)

@@ -109,3 +109,30 @@ def test_month_partitioned_ledger_prunes(spark):
     plan = explain(sl)
     assert "PartitionFilters: [isnotnull(month_key" in plan and "(month_key#" in plan
     assert sl.count() == M.month_slice(A.ledger(spark, SF01), "2001-11").count()
+
+
+def test_month_partitioned_write_few_files_hot_month_split(spark):
+    from ledgerlens.schema import DATE
+
+    led = A.ledger(spark, SF01)
+    # one month holds about a third of all rows
+    hot = F.when(F.pmod(F.xxhash64(*led.columns), F.lit(3)) == 0, F.lit("2001-11-15").cast("timestamp_ntz"))
+    # spread over 8 tasks, as a large scan is (AQE splits a hot partition along map outputs)
+    skewed = led.withColumn(DATE, F.coalesce(hot, F.col(DATE))).repartition(8)
+    files = lambda p: (
+        spark.read.parquet(p).select("month_key", F.input_file_name().alias("f")).distinct().groupBy("month_key").count().withColumnRenamed("count", "n").collect()
+    )
+    path = replace_ledger(skewed, scratch_path(spark, "ledger"), partition_by_month=True)
+    per_month = {r.month_key: r.n for r in files(path)}
+    # files follow the data, not the number of write tasks
+    assert max(n for m, n in per_month.items() if m != "2001-11") == 1
+    assert spark.read.parquet(path).count() == skewed.count()
+    # with a small advisory size the hot month is split over several tasks (files)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        path = replace_ledger(skewed, scratch_path(spark, "ledger"), partition_by_month=True)
+        per_month = {r.month_key: r.n for r in files(path)}
+        assert per_month["2001-11"] > 1
+        assert spark.read.parquet(path).count() == skewed.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
