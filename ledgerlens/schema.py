@@ -41,6 +41,8 @@ RECENT_N = 3
 TOP_N = 3
 RETRIEVAL_K = 5
 EMBED_BATCH = 100
+# The record store's commit size; files have no such limit, so it is opt-in
+# (``append_collection(max_records_per_file=SYNC_COMMIT)``).
 SYNC_COMMIT = 400
 # Embedding task names for stored rows and for questions.
 TASK_DOCUMENT = "retrieval_document"

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import to_timestamp_ntz
-from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC, SYNC_COMMIT
+from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC
 from .csv import require_columns
 
 ID = "_id"
@@ -40,7 +40,7 @@ def append_collection(
     records: DataFrame,
     path: str,
     idempotent: bool = False,
-    max_records_per_file: int | None = SYNC_COMMIT,
+    max_records_per_file: int | None = None,
     required: Iterable[str] = REQUIRED_SYNC,
 ) -> int:
     """Append every row as one record with its own id; returns the number written.
@@ -50,7 +50,10 @@ def append_collection(
     be dropped by id (identical records then share an id: use it only when a
     record's content identifies it).  The count comes from an ``Observation`` of the write
     itself (no second pass).  Files hold at most ``max_records_per_file``
-    records.  Missing required columns raise before anything is written.
+    records when it is set (the record store committed 400 at a time; on
+    files that limit would only multiply small files, so the default is
+    one file per write task).  Missing required columns raise before
+    anything is written.
     """
     require_columns(records.columns, required)
     cols = records.columns

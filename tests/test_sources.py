@@ -6,7 +6,7 @@ import glob
 from conftest import SF01
 from pyspark.sql import functions as F
 
-from ledgerlens.schema import LEDGER
+from ledgerlens.schema import LEDGER, SYNC_COMMIT
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import adapters as A
 from ledgerlens.sources.collection import (
@@ -27,7 +27,7 @@ def local(path: str) -> str:
 def test_append_counts_and_file_limit(spark):
     led = A.ledger_events(spark, SF01)
     path = scratch_path(spark, "coll")
-    n = append_collection(led, path, max_records_per_file=400)
+    n = append_collection(led, path, max_records_per_file=SYNC_COMMIT)
     assert n == led.count() == 10000
     files = glob.glob(local(path) + "/*.json")
     assert len(files) >= 25  # at most 400 records per file
