@@ -60,3 +60,12 @@ def test_empty_ledger_retrieval(spark):
     conv = A.table(spark, SF001, "conversations")
     out = rag.rag_batch(conv, index, dt.datetime(2026, 1, 1)).collect()
     assert len(out) > 0 and all(r.context == NO_DATA for r in out)
+
+
+def test_no_pending_questions(spark):
+    led = A.ledger(spark, SF001)
+    done = rag.ingest(led, scratch_path(spark, "index"), scratch_path(spark, "cache"))
+    conv = A.table(spark, SF001, "conversations").limit(0)
+    out = rag.rag_batch(conv, spark.read.parquet(done.path), dt.datetime(2026, 1, 1))
+    assert out.columns == ["conv_id", "turn", "question", "context", "prompt"]
+    assert out.count() == 0
