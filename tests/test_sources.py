@@ -136,3 +136,37 @@ def test_month_partitioned_write_few_files_hot_month_split(spark):
         assert spark.read.parquet(path).count() == skewed.count()
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_collection_read_uses_recorded_schemas(spark):
+    from ledgerlens.sources.collection import merge_schemas, recorded_schema
+
+    path = scratch_path(spark, "coll")
+    d = dt.datetime(2024, 1, 1)
+    a = spark.createDataFrame([(d, "x", 1, "Food", 3)], "Date timestamp_ntz, Description string, Amount int, Category string, n long")
+    b = spark.createDataFrame([(d, "y", 2.5, "z")], "Date timestamp_ntz, Description string, Amount double, n string")
+    append_collection(a, path, required=("Date", "Description", "Amount"))
+    append_collection(b, path, required=("Date", "Description", "Amount"))
+    append_collection(b, path, required=("Date", "Description", "Amount"))  # same schema: no new file
+    rec = recorded_schema(spark, path)
+    assert [f.name for f in rec.fields] == sorted(["_id", "Date", "Description", "Amount", "Category", "n"])
+    types = {f.name: f.dataType.simpleString() for f in rec.fields}
+    assert types == {"_id": "string", "Date": "timestamp_ntz", "Description": "string", "Amount": "double", "Category": "string", "n": "string"}
+    assert len(glob.glob(local(path) + "/_schemas/*.json")) == 2
+    # reading with the recorded schema runs no inference pass over the records
+    sc = spark.sparkContext
+    sc.setJobGroup("read-coll", "read")
+    df = read_collection(spark, path)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("read-coll"))
+    sc.setJobGroup("after", "after")
+    assert jobs == 1  # the few schema files, not the records
+    got = sorted((r.Description, r.Amount, r.n) for r in df.collect())
+    assert got == [("x", 1.0, "3"), ("y", 2.5, "z"), ("y", 2.5, "z")]
+    assert len(merge_schemas([]).fields) == 0
+
+
+def test_collection_without_recorded_schema_is_inferred(spark):
+    path = scratch_path(spark, "foreign")
+    spark.createDataFrame([("2024-01-01", "x", 1.5)], "Date string, Description string, Amount double").write.json(path)
+    r = read_collection(spark, path).first()
+    assert r.Date == dt.datetime(2024, 1, 1) and r.Amount == 1.5
