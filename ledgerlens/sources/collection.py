@@ -136,7 +136,9 @@ def read_collection(
 
     Each collection is read with the merge of the schemas its appends
     recorded (no inference pass over the records); ``schema`` overrides it,
-    and a folder without recorded schemas is inferred.  A missing or empty
+    and a folder without recorded schemas is inferred.  An append's schema
+    is recorded before its records, so an append of no rows (or one that
+    failed) still contributes its columns, as nulls.  A missing or empty
     collection gives an empty ledger.  A text ``Date`` is parsed to
     TIMESTAMP_NTZ.
     """
