@@ -6,13 +6,18 @@ normalised on the driver (metadata only), then Date is parsed, Amount
 coerced and Type inferred when absent.  A row with more fields than the
 header, or a date that does not parse, fails the job (the upload is
 rejected as a whole) through a filter that column pruning cannot remove.
+
+The CSV reader gives an empty extra field (``a,b,c,d,``) the same null as a
+missing one, so long rows are also counted on the raw lines: a scalar
+subquery over ``spark.read.text`` strips quoted sections and counts the
+delimiters.  It runs as part of the same query, only when the rows are used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +25,8 @@ from ..functions.clean import amount_expr, na_to_null, parse_timestamp, type_exp
 from ..schema import AMOUNT, CATEGORY, DATE, DESCRIPTION, INCOME_KEYWORDS, LEDGER_COLUMNS, REQUIRED_SYNC, REQUIRED_UPLOAD, TYPE
 
 OVERFLOW = "_overflow"
+# A quote inside a quoted field is doubled (RFC 4180, as pandas reads it); Spark's default escape is a backslash.
+QUOTE = '"'
 
 
 def normalize_name(name: str) -> str:
@@ -57,7 +64,7 @@ def require_columns(columns: Iterable[str], required: Iterable[str] = REQUIRED_U
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """The raw header names: the first CSV record, read without inference."""
-    first = spark.read.option("header", False).csv(path).first()
+    first = spark.read.option("header", False).option("escape", QUOTE).csv(path).first()
     if first is None:
         raise ValueError(f"No header in {path}")
     names = [("" if v is None else v) for v in first]
@@ -66,6 +73,24 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+# A quoted CSV field (doubled quotes inside); delimiters within it do not separate fields.
+QUOTED_FIELD = r'"(?:[^"]|"")*"'
+
+
+def long_line_count(spark: SparkSession, path: str, width: int, sep: str = ",") -> Column:
+    """Scalar subquery: lines of ``path`` with more than ``width`` fields, empty extra fields included.
+
+    Quoted sections are stripped only from lines that have a quote; fields
+    are counted as delimiters + 1 (no per-line array).
+    """
+    if len(sep) != 1:
+        raise ValueError("single-character delimiter expected")
+    line = F.col("value")
+    unquoted = F.when(line.contains(QUOTE), F.regexp_replace(line, QUOTED_FIELD, "")).otherwise(line)
+    fields = F.length(unquoted) - F.length(F.translate(unquoted, sep, "")) + F.lit(1)
+    return spark.read.text(path).where(fields > F.lit(width)).agg(F.count(F.lit(1))).scalar()
+
+
 def clean_ledger(raw: DataFrame, date_format: str | None = None, keywords: Iterable[str] = INCOME_KEYWORDS) -> DataFrame:
     """All-string ledger columns -> LEDGER types, extra columns carried as text.
 
@@ -121,14 +146,16 @@ def read_ledger_csv(
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
+        .option("escape", QUOTE)
         .csv(path)
         .toDF(*names, OVERFLOW)
     )
     raw = raw.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names], OVERFLOW)
-    return clean_ledger(raw, date_format, keywords)
+    long_rows = F.when(long_line_count(spark, path, width) > 0, F.raise_error(F.lit("CSV row has more fields than the header")))
+    return clean_ledger(raw.where(long_rows.otherwise(F.lit(True))), date_format, keywords)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Write a frame as header CSV parts (the shape an upload folder has)."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    df.write.mode("errorifexists").option("header", True).option("escape", QUOTE).csv(path)
     return path
