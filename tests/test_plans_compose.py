@@ -69,3 +69,23 @@ def test_no_pending_questions(spark):
     out = rag.rag_batch(conv, spark.read.parquet(done.path), dt.datetime(2026, 1, 1))
     assert out.columns == ["conv_id", "turn", "question", "context", "prompt"]
     assert out.count() == 0
+
+
+def test_ingest_small_ledger_large_cache(spark):
+    from conftest import SF01, explain
+
+    from ledgerlens.operators.embed import HashingEmbedder, model_id, read_cache
+    from ledgerlens.schema import TASK_DOCUMENT
+
+    small = A.ledger(spark, SF001)
+    shared = scratch_path(spark, "cache")
+    rag.ingest(A.ledger(spark, SF01), scratch_path(spark, "index"), shared)  # a cache about 10x this ledger
+    narrowed = rag.ingest(small, scratch_path(spark, "index"), shared)
+    fresh = rag.ingest(small, scratch_path(spark, "index"), scratch_path(spark, "cache"))
+    rows = lambda p: sorted((r.text, r.fp, tuple(r.embedding)) for r in spark.read.parquet(p).collect())
+    assert narrowed.rows == fresh.rows and rows(narrowed.path) == rows(fresh.path)
+    # the large slice is narrowed to this ledger's fingerprints; a slice of the ledger's size is not
+    texts = spark.read.parquet(fresh.path).select("fp")
+    big = read_cache(spark, shared, model_id(HashingEmbedder()), TASK_DOCUMENT)
+    assert "LeftSemi" in explain(rag.vectors_for(texts, big, fresh.rows))
+    assert "LeftSemi" not in explain(rag.vectors_for(texts, big, big.count()))
