@@ -74,7 +74,7 @@ def test_no_pending_questions(spark):
 def test_ingest_small_ledger_large_cache(spark):
     from conftest import SF01, explain
 
-    from ledgerlens.operators.embed import HashingEmbedder, model_id, read_cache
+    from ledgerlens.operators.embed import HashingEmbedder, cached_vectors, model_id, read_cache
     from ledgerlens.schema import TASK_DOCUMENT
 
     small = A.ledger(spark, SF001)
@@ -87,5 +87,5 @@ def test_ingest_small_ledger_large_cache(spark):
     # the large slice is narrowed to this ledger's fingerprints; a slice of the ledger's size is not
     texts = spark.read.parquet(fresh.path).select("fp")
     big = read_cache(spark, shared, model_id(HashingEmbedder()), TASK_DOCUMENT)
-    assert "LeftSemi" in explain(rag.vectors_for(texts, big, fresh.rows))
-    assert "LeftSemi" not in explain(rag.vectors_for(texts, big, big.count()))
+    assert "LeftSemi" in explain(cached_vectors(texts, big, fresh.rows))
+    assert "LeftSemi" not in explain(cached_vectors(texts, big, big.count()))
