@@ -245,3 +245,16 @@ def test_conversation_ops(spark):
     assert out.count() == 6
     assert out.where("conv_id = 1 AND turn = 3").first().role == "assistant"
     assert pending_turns(out).count() == 0
+
+
+def test_embed_cached_empty_and_null_inputs(spark):
+    from ledgerlens.operators.embed import embed_cached, fill_cache_counts
+    from ledgerlens.session import scratch_path
+
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert fill_cache_counts(empty, scratch_path(spark, "cache")) == (0, 0)
+    out, n = embed_cached(empty, scratch_path(spark, "cache"))
+    assert n == 0 and out.count() == 0
+    nulls = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    out, n = embed_cached(nulls, scratch_path(spark, "cache"))
+    assert n == 0 and out.count() == 0  # a row without text gets no vector
