@@ -383,7 +383,7 @@ def q_embed_texts(spark, d):
     from ..operators.embed import embed_texts
 
     docs = A.table(spark, d, "documents").select("doc_id", "text")
-    return embed_texts(docs).select("doc_id", "embedding")
+    return embed_texts(docs, spread=True).select("doc_id", "embedding")
 
 
 @register("embed_cached")
