@@ -53,6 +53,16 @@ def test_knn_has_no_cross_join(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_knn_broadcast_corpus_not_shuffled(spark):
+    e = A.table(spark, SF01, "embeddings")
+    df = knn(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("row_id"), "embedding"), 5)
+    plan = explain(df)
+    assert "MapInArrow" in plan and "FlatMapCoGroupsInArrow" not in plan
+    # the only exchange is the per-query merge of the top-k candidates
+    exchanges = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning") or "RoundRobinPartitioning" in line]
+    assert len(exchanges) == 1 and "query_id" in exchanges[0], exchanges
+
+
 def test_rag_batch_plan(spark):
     import datetime as dt
 
