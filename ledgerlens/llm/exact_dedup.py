@@ -57,6 +57,31 @@ def _told_apart(rows: DataFrame) -> DataFrame:
     return rows.join(listed.select("row", F.flatten(F.col("r.i")).alias("recipe")), "row")
 
 
+def _recipes(docs: DataFrame, id_col: str, text_col: str, bits: int, carry: bool) -> DataFrame:
+    """``id, row, cp, sha, recipe`` of every document (and all columns as c0, c1, ... if carried); the texts are read once."""
+    spark = docs.sparkSession
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = flat.columns if carry else []
+    id_, text = (flat[f"c{docs.columns.index(c)}"] for c in (id_col, text_col))
+    # Rows with one id are told apart by their place in the table.
+    src = flat.select(*kept, id_.alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.length(text), F.lit(0)).alias("cp"), normalized(text).alias("norm"))
+    src = src.select(*kept, "id", "row", "cp", F.sha2("norm", 256).alias("sha"), chunks(F.col("norm")).alias("chunks"))
+    ids = F.transform("chunks", lambda c: _ident(c, bits)).alias("ids")
+    digests = F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests")
+    path = scratch_path(spark, "recipes")
+    src.select(*kept, "id", "row", "cp", "sha", ids, digests).write.parquet(path)
+    return _told_apart(spark.read.parquet(path))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """``recipe, n, keep, keep_row`` of the recipes that several documents have."""
+    order = F.struct((-F.col("cp")).alias("cp"), F.col("id").alias("id"), F.col("row").alias("row"))
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.min(order).alias("best")).where("n > 1")
+    path = scratch_path(rows.sparkSession, "groups")
+    groups.select("recipe", "n", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 128) -> DataFrame:
     """Groups of equal texts: one row per document with ``id_col, keep_id, group_size, kept, text_sha256``.
 
@@ -65,23 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows repeated with the same id and text are separate members of which exactly one is kept.
     A null id sorts first.  Other columns are not read.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    text = F.col("text")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Rows with one id are told apart by their place in the table.
-    src = src.select("id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.length(text), F.lit(0)).alias("cp"), normalized(text).alias("norm"))
-    src = src.select("id", "row", "cp", F.sha2("norm", 256).alias("sha"), chunks(F.col("norm")).alias("chunks"))
-    ids = F.transform("chunks", lambda c: _ident(c, id_bits)).alias("ids")
-    digests = F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests")
-    path = scratch_path(spark, "recipes")
-    src.select("id", "row", "cp", "sha", ids, digests).write.parquet(path)
-    rows = _told_apart(spark.read.parquet(path))
-    order = F.struct((-F.col("cp")).alias("cp"), F.col("id").alias("id"), F.col("row").alias("row"))
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.min(order).alias("best")).where("n > 1")
-    path = scratch_path(spark, "groups")
-    groups.select("recipe", "n", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row")).write.parquet(path)
-    groups = spark.read.parquet(path)
-    out = rows.join(groups, "recipe", "left")
+    rows = _recipes(docs, id_col, text_col, id_bits, carry=False)
+    out = rows.join(_groups(rows), "recipe", "left")
     alone = F.col("n").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -90,3 +100,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents (all columns) that ``exact_dedup`` keeps."""
+    rows = _recipes(docs, id_col, text_col, 128, carry=True)
+    gone = rows.select("row", "recipe").join(_groups(rows), "recipe").where("row <> keep_row").select("row")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -15,4 +15,16 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 with n as (select doc_id, coalesce(length(text), 0) cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') t from documents),
 g as (select t, count(*) n, arg_min(doc_id, (-cp, doc_id)) keep from n group by t)
 select doc_id, keep keep_id, n group_size, doc_id = keep kept, sha256(n.t) text_sha256 from n join g on n.t = g.t""",
+    "op4_decontaminate": r"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+bw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bx as (select item_id, w, least(10, len(w)) n, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from bw where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') s from bx),
+sizes as (select distinct n from win),
+dx as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from dw, sizes where len(w) >= n),
+hits as (select doc_id, i, dx.n, item_id from dx join win on dx.n = win.n and array_to_string(dx.w[i : i + dx.n - 1], ' ') = win.s),
+pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by doc_id),
+its as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, cast(item_id as varchar) x from hits) group by doc_id)
+select dw.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join pos on dw.doc_id = pos.doc_id left join its on dw.doc_id = its.doc_id""",
 }

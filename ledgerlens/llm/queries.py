@@ -21,6 +21,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -37,3 +38,74 @@ def op2(spark, d):
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, d, "documents"))
+
+
+@register("op4_decontaminate")
+def op4(spark, d):
+    from pyspark.sql import functions as F
+
+    from .decontaminate import contamination
+
+    found = contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        digest.alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@register("op6_sentencepiece")
+def op6(spark, d):
+    from .pieces import round_trip
+
+    return round_trip(table(spark, d, "documents"), PIECE_MODEL)
+
+
+@register("op8_secret_scan")
+def op8(spark, d):
+    from pyspark.sql import functions as F
+
+    from .secret_scan import scan_secrets
+
+    found = scan_secrets(table(spark, d, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
+
+
+@register("op10_license_scan")
+def op10(spark, d):
+    from pyspark.sql import functions as F
+
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, d, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best", "dice", "n_units")
+
+
+@register("op3_jaccard_join")
+def op3(spark, d):
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, d, "documents"))
+
+
+def fold(column: str, parts: int):
+    """crc32 of an id as text modulo ``parts``; a null id counts as an empty text."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts
+
+
+@register("op9_quality_classifier")
+def op9(spark, d):
+    from pyspark.sql import functions as F
+
+    from .quality import THRESHOLD, fit_quality, score_quality
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    machine = fit_quality(docs, table(spark, d, "labels").where(fold("doc_id", 4) != 2))
+    scored = score_quality(docs, machine)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
