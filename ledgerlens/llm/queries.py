@@ -109,3 +109,22 @@ def op9(spark, d):
     machine = fit_quality(docs, table(spark, d, "labels").where(fold("doc_id", 4) != 2))
     scored = score_quality(docs, machine)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op7_suffix_dedup")
+def op7(spark, d):
+    from pyspark.sql import functions as F
+
+    from .repeats import repeated_passages
+
+    found = repeated_passages(table(spark, d, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.cast("array<string>"))), ",")
+    return found.select("doc_id", "n_repeated", F.size("spans").cast("bigint").alias("n_spans"), spans.alias("spans"))
+
+
+@register("op5_context_mixing")
+def op5(spark, d):
+    from .mixing import score_texts
+
+    scored = score_texts(table(spark, d, "documents"), fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

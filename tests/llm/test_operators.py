@@ -1,0 +1,407 @@
+"""Each operator against DuckDB or a plain version, and on awkward and empty tables."""
+
+import math
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from brute import contamination as brute_contamination
+from brute import jaccard as brute_jaccard
+from brute import repeats as brute_repeats
+from brute import words
+from conftest import AWKWARD
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import decontaminate, exact_dedup, jaccard, licenses, mixing, pieces, quality, repeats, secret_scan, textbytes, url_filter
+from ledgerlens.llm.components import components
+from ledgerlens.llm.oracle import ORACLE
+from ledgerlens.llm.queries import PIECE_MODEL, QUERIES, fold
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{D}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def plain(v):
+    return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    want = c.sql(ORACLE[name]).df()
+    got = QUERIES[name](spark, D).select(*want.columns).toPandas()
+    tidy = lambda df: sorted(map(repr, ([plain(v) for v in r] for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))))
+    assert tidy(got) == tidy(want)
+
+
+# --- URL filter
+
+
+def test_cascade_is_exact(spark):
+    every = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = every.where("crc32(key) % 5 = 0")
+    cascade = url_filter.build_cascade(listed, every.union(spark.createDataFrame([(None,)], "key string")))
+    assert len(cascade.levels) > 1  # later levels are used
+    got = every.select("key", cascade.holds(F.col("key")).alias("h"), (F.crc32("key") % 5 == 0).alias("want"))
+    assert got.where("h <> want").count() == 0
+    assert url_filter.build_cascade(listed, every, max_filter_bytes=10) is None
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme net/", "http://Example.NET/en/x", "https://a.example.net/fr/?q", "http://net", "http://net/", "http://notnet.org/fr/1", "http://x.org?/fr/", "://a.net/#", "http://example.com/de", "http://www.example.com/de/1#a", "http://a://b.net/"]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(None, "http://net/", "h", "r")] * 2, "page_id long, url string, host string, rule string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    want = {0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("example.net", "/en/x", "example.net/en/", "allow"), 4: ("a.example.net", "/fr/", "net/", "block"), 5: ("net", "", None, "allow"), 6: ("net", "/", "net/", "block"), 7: ("notnet.org", "/fr/1", "org/fr/", "allow"), 8: ("x.org", "", None, "allow"), 9: ("a.net", "/", "net/", "block"), 10: ("example.com", "/de", None, "allow"), 11: ("www.example.com", "/de/1", "example.com/de/", "block"), 12: ("a:", "//b.net/", None, "allow")}
+    for bound in (1 << 20, 0):  # the cascade, and the joins beyond its bound
+        got = url_filter.filter_urls(pages, rules, max_filter_bytes=bound).collect()
+        assert {r.page_id: tuple(r)[1:] for r in got if r.page_id is not None} == want
+        assert [tuple(r)[1:] for r in got if r.page_id is None] == [("net", "/", "net/", "block")] * 2
+    assert url_filter.filter_urls(pages, rules.where("1 = 0")).where("verdict <> 'allow' or rule is not null").count() == 0
+    assert url_filter.filter_urls(pages.where("1 = 0"), rules).count() == 0
+
+
+# --- exact dedup
+
+
+def test_exact_dedup_edges(awkward, nothing):
+    for bits in (128, 0):  # 0: every identifier is shared, ranks tell chunks apart
+        got = sorted(exact_dedup.exact_dedup(awkward, id_bits=bits).collect(), key=str)
+        by = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
+        assert by[(0, 0, 3, True)] == 1 and by[(3, 0, 3, False)] == 2
+        assert by[(4, 4, 3, True)] == 1 and by[(1, 4, 3, False)] == 1 and by[(2, 4, 3, False)] == 1  # the white space text is longest
+        assert by[(None, None, 1, True)] == 1 and len(got) == len(AWKWARD)
+    assert exact_dedup.drop_copies(awkward).columns == awkward.columns
+    assert exact_dedup.drop_copies(awkward).count() == len(AWKWARD) - 4
+    assert exact_dedup.exact_dedup(nothing).count() == 0
+
+
+def test_chunk_lists_tell_texts_apart(spark):
+    texts = ["a.Eb", "a.E\0b", "a.E", ".E\0", "\0.E", "a.Tb.Ec", "a.Tb.E\0c", "", "\0", "\0\0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.select(exact_dedup.chunks(F.col("t"))).distinct().count() == len(texts)
+
+
+# --- Jaccard join
+
+
+def test_jaccard_fixture(docs, rows):
+    want = {d: w for (d, _), w in zip(rows, brute_jaccard(rows), strict=True)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == want
+
+
+def test_jaccard_blocks_and_edges(spark, awkward, nothing):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):  # near copies: more than a block
+        w = list(base)
+        w[rng.randrange(120)] = f"z{i}"
+        texts.append((i, " ".join(w)))
+    texts += [(100, "one two"), (101, "One, two!"), (102, ""), (103, None), (None, "null id here"), (104, "null id HERE")]
+    want = Counter((d, *w) for (d, _), w in zip(texts, brute_jaccard(texts), strict=True))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for block in (512, 7):
+        assert Counter(map(tuple, jaccard.jaccard_join(df, block=block).collect())) == want
+    got = Counter(map(tuple, jaccard.jaccard_join(awkward).collect()))
+    assert got == Counter((d, *w) for (d, _), w in zip(AWKWARD, brute_jaccard(AWKWARD), strict=True))
+    kept = jaccard.drop_near_copies(awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 2
+    assert jaccard.jaccard_join(nothing).count() == 0
+
+
+def test_least_agreements():
+    table = jaccard.least_agreements(0.8, 1e-4)
+    assert list(table) == list(range(8, 65, 8)) and all(0 <= m < n for n, m in table.items())
+    assert table[64] < 0.8 * 64 and table[64] > 0.5 * 64
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 90), (100, 95)]
+    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+# --- decontamination
+
+
+def test_contamination(spark, awkward, nothing):
+    bench = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "short item"), (3, ""), (None, "null item words"), (4, None), (2, "short item")]
+    texts = [(0, "x Alpha, beta gamma delta epsilon zeta eta theta iota KAPPA lambda y"), (1, "short-item short"), (2, None), (3, "null item words here"), (4, "beta gamma")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for size in (16 << 20, 40):  # one block, several blocks
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(df, items, block_bytes=size).collect()}
+        assert got == dict(zip(range(5), brute_contamination([t for _, t in texts], bench), strict=True))
+    clean = {r.doc_id: r.text for r in decontaminate.decontaminate(df, items, drop_share=0.95).collect()}
+    assert clean == {0: "x  y", 1: " short", 2: None, 3: " here", 4: "beta gamma"}
+    assert decontaminate.contamination(awkward, items).count() == len(AWKWARD)
+    assert decontaminate.decontaminate(awkward, items.where("1 = 0")).subtract(awkward).count() == 0
+    assert decontaminate.contamination(nothing, items).count() == 0
+
+
+# --- context mixing
+
+
+def test_mixing(spark, docs, rows):
+    got = {r.doc_id: r for r in QUERIES["op5_context_mixing"](spark, D).collect()}
+    low = lambda t: re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None]
+    toks = {i: low(t) for i, t in rows}
+    held = {i for i in toks if zlib.crc32(str(i).encode()) % 10 == 0}
+    c = Counter(x for i, w in toks.items() if i not in held for x in w)
+    n, v = sum(c.values()), len(c)
+    for i, w in toks.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert r.score < 0
+    # On texts it has not seen the model does better than even odds for every byte by far.
+    assert np.mean([got[i].bits_per_byte for i in held if got[i].bits_per_byte]) < 4.5
+
+
+def test_mixing_is_a_distribution():
+    """Probabilities of all first bytes of a token, and its end, add up to one."""
+    rng = np.random.RandomState(0)
+    mixer = mixing.Mixer(rng.randint(0, 1 << 16, mixing._SLOTS).astype(np.uint16))
+    total = 0.0
+    bits = mixing.Bits(np.arange(256, dtype=np.uint8), np.arange(257), np.zeros(256, np.uint8))
+    first = bits.begin[:-1]
+    cost = np.zeros(256)
+    for b in range(8):
+        slots, value = bits.bit(b)
+        codes = [mixer.codes[s[first]] for s in slots]
+        w = mixer.weights[mixing._gate(bits.place[first], mixing._LEVEL[codes[3]], mixing._LEVEL[codes[4]])]
+        z = np.clip(sum(w[:, i] * mixing._ODDS[x] for i, x in enumerate(codes)) + w[:, -1], -14, 14)
+        y = value[first]
+        cost += np.log1p(np.exp(np.where(y == 1, -z, z)))
+    total = np.exp(-cost).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_mixing_edges(spark, awkward, nothing):
+    got = mixing.score_texts(awkward, fold("doc_id", 10) != 0).collect()
+    assert len(got) == len(AWKWARD) and all(r.score < 0 for r in got)
+    empty = {r.doc_id: r for r in got}
+    assert empty[1].n_tokens == empty[2].n_tokens == 1 and empty[1].bits_per_byte is None
+    none = mixing.score_texts(awkward, F.lit(False)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in none)
+    assert mixing.score_texts(nothing, F.lit(True)).count() == 0
+
+
+# --- pieces
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.PieceModel(PIECE_MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "    ", "\n", "\t", "é", "日本", "ing", "er", "1", ".", "😀", "\u3000", "\x00", "--", "____", "        ", "The", "http", "xyzzy"]), max_size=40))
+def test_pieces_equal_library(model, parts):
+    text = "".join(parts)
+    want = model.processor.encode(text)
+    assert model.encode(text) == want
+    assert list(model.stream(("▁" + text.replace(" ", "▁")) if text else "")) == want  # uncut stream
+    assert model.decode(want) == text
+
+
+def test_pieces_stream_is_bounded(model):
+    """Ids come out while the stream is still being read."""
+    read = 0
+
+    def chars():
+        nonlocal read
+        for c in "▁" + "abcdefghij" * 3000:
+            read += 1
+            yield c
+
+    stream = model.stream(chars())
+    next(stream)
+    assert read < 200
+
+
+def test_pieces_documents(spark, rows, model, awkward, nothing):
+    got = {r.doc_id: r for r in QUERIES["op6_sentencepiece"](spark, D).collect()}
+    assert all(got[i].ids == model.processor.encode(t or "") and got[i].round_trip for i, t in rows)
+    both = pieces.round_trip(awkward, PIECE_MODEL).collect()
+    assert len(both) == len(AWKWARD) and [r.round_trip for r in both if r.doc_id == 6] == [False]  # it holds the space mark
+    assert {r.doc_id: r.n_ids for r in both}[2] == 0
+    assert pieces.encode_documents(awkward, PIECE_MODEL).where("text is null and ids is not null").count() == 0
+    assert pieces.round_trip(nothing, PIECE_MODEL).count() == 0
+
+
+# --- repeats
+
+
+def test_repeats(spark, docs, rows):
+    got = {r.doc_id: [list(s) for s in r.spans] for r in repeats.repeated_passages(docs).collect()}
+    assert got == brute_repeats(rows) and got
+
+
+def test_repeats_edges(spark, awkward, nothing):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
+    p = text(60)
+    texts = [(i, " ".join(text(rng.randrange(80)) + p[rng.randrange(8) :] + text(rng.randrange(80)))) for i in range(25)]
+    texts += [(30, " ".join(p[:49])), (31, " ".join(p[:50])), (32, " ".join(["a"] * 300)), (33, None), (34, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: [list(s) for s in r.spans] for r in repeats.repeated_passages(df).collect()} == brute_repeats(texts)
+    assert repeats.repeated_passages(awkward).count() == 0  # repeats within a text, and repeated rows, do not count
+    assert repeats.repeated_passages(nothing).count() == 0
+
+
+def test_neighbours_across_batches():
+    """A run of equal passages that is spread over many batches."""
+    hash_, doc = [1, 1, 1, 2, 3, 3, 3, 3, 4, 4, 5], [7, 7, 8, 1, 5, 5, 5, 6, 2, 2, 1]
+    names = ["hash", "check", "id", "doc", "pos"]
+    cols = [pa.array(hash_), pa.array([0] * 11, pa.int32()), pa.array(doc), pa.array(doc), pa.array(range(11), pa.int32())]
+    whole = pa.RecordBatch.from_arrays(cols, names=names)
+    for size in (1, 2, 3, 11):
+        got = [p for b in repeats._in_two(whole.slice(i, size) for i in range(0, 11, size)) for p in b.column(2).to_pylist()]
+        assert got == [0, 1, 2, 4, 5, 6, 7]
+        kept = [p for b in repeats._matched(whole.slice(i, size).rename_columns(["prefix", *names[1:]]) for i in range(0, 11, size)) for p in b.column(2).to_pylist()]
+        assert kept == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]  # and the last row of the partition
+
+
+# --- secrets
+
+FOUND = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_base(text):
+    got = [(m.start(), 0, m.end()) for m in FOUND.finditer(text) if len(m[2]) >= 12]
+    got += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    got += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(got)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["token", "TOKEN", "to\u212aen", "api_key", "apikey", "secret", "passwd", "\u0130", "é", "=", ":", " ", "'", '"', "abc", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "x=", "deadbeef", "日"]), max_size=25))
+def test_secret_patterns(parts):
+    text = "".join(parts)
+    assert secret_scan.base_spans(text, secret_scan.lowered(text)) == brute_base(text)
+
+
+def test_secrets(spark, rows, awkward, nothing):
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i].base == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(t or ""))
+    random_key, name = "Zk8rQ2vX9pLw4TyB7nHs3Gd", "connectionconfiguration"
+    texts = [(0, f"the client credential is {random_key} and more"), (1, f"the client credential is {name} and more"), (2, f"nothing here: {random_key}"), (3, None)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[0].spans == f"novel:25:{25 + len(random_key)}" and got[0].base == "" and [got[i].spans for i in (1, 2, 3)] == ["", "", ""]
+    assert secret_scan.scan_secrets(awkward).count() == len(AWKWARD) and secret_scan.scan_secrets(nothing).count() == 0
+
+
+# --- quality
+
+
+def test_quality(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op9_quality_classifier"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    right = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
+    assert right > 0.93
+
+
+def test_pairs_identity():
+    """The sum-of-squares identity equals the sum over all pairs."""
+    m, rng = quality.Machine(), np.random.RandomState(1)
+    m.factor = rng.normal(size=m.factor.shape)
+    i, x = np.array([3, 9, 27, 5]), np.array([0.5, -1.0, 2.0, 0.25])
+    z, _ = m.raw(np.array([0, 4]), i, x)
+    want = sum(m.factor[i[a]] @ m.factor[i[b]] * x[a] * x[b] for a in range(4) for b in range(a))
+    assert z[0] == pytest.approx(want)
+
+
+def test_quality_edges(spark, awkward, nothing):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (3, 0), (None, 1), (99, 0), (1, None)], "doc_id long, quality int")
+    machine = quality.fit_quality(awkward, labels)
+    got = quality.score_quality(awkward, machine, score_col="q")
+    assert got.count() == len(AWKWARD) and got.where("q is null or q < 0 or q > 1").count() == 0
+    even = quality.fit_quality(awkward, labels.where("1 = 0"))
+    assert quality.score_quality(awkward.select("doc_id", "text"), even).where("abs(score - 0.5) > 0.2").count() == 0
+    assert quality.score_quality(nothing, machine, score_col="q").count() == 0
+
+
+# --- licences
+
+
+def test_licenses(spark, docs, rows, awkward, nothing):
+    def dice(unit, own):
+        w = licenses.bigrams(unit)
+        common = sum((Counter(w) & Counter(own)).values())
+        return 2 * common / (len(w) + len(own)) if w else 0.0
+
+    texts = rows + [(1000, licenses.TEMPLATES["MIT-text"]), (1001, "a\n\nLicensed under the Apache\nLicense, Version 2.0\n\nb"), (1002, None), (1003, "released UNDER the mit licence"), (1004, "mit license " * 50)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        t = t or ""
+        blocks = re.split(r"\n[ ]*\n\s*", t) if re.search(r"\n[ ]*\n", t) else []
+        units = t.split("\n") + blocks + ([t] if "\n" in t else [])
+        want = {}
+        for u in units:
+            for name, text in licenses.TEMPLATES.items():
+                s = dice(u, licenses.bigrams(text))
+                if s >= 0.8:
+                    want[name] = max(want.get(name, 0), s)
+        assert got[i].licenses == sorted(want), (i, got[i], want)
+        if want:
+            best = min(want, key=lambda k: (-want[k], k))
+            assert got[i].best == best and got[i].dice == pytest.approx(want[best])
+    assert licenses.scan_licenses(awkward).where("n_units > 0").count() == 0
+    assert licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(docs, templates={}).where("n_units > 0").count() == 0
+
+
+def test_size_bounds_prune_nothing_that_fits():
+    for m in range(1, 60):
+        low, high = licenses.size_bounds(m, 0.8)
+        for n in range(1, 200):
+            assert (low <= n <= high) or 2 * min(n, m) / (n + m) < 0.8
+
+
+# --- shared
+
+
+def test_slices_bound_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 100, 1, 1, 1, 0)] + [None])], names=["text"])
+    parts = [p.column(0).to_pylist() for p in textbytes.slices(batch, "text", 4)]
+    assert sum(parts, []) == batch.column(0).to_pylist() and parts[:2] == [["a" * 5], ["a" * 100]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=8))
+def test_tokens(texts):
+    buf, off = textbytes.raw(pa.array(texts))
+    low = textbytes.LOWER[buf]
+    start, end, first = textbytes.tokens(low, off, textbytes.WORD)
+    got = [[low[a:b].tobytes().decode() for a, b in zip(start[x:y], end[x:y], strict=True)] for x, y in zip(first[:-1], first[1:], strict=True)]
+    assert got == [words(t) for t in texts]
+
+
+def test_nothing_else_imports_the_subpackage():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for folder, _, names in os.walk(os.path.join(root, "ledgerlens")):
+        if os.sep + "llm" not in folder:
+            for n in names:
+                if n.endswith(".py"):
+                    assert "llm" not in open(os.path.join(folder, n)).read()
