@@ -18,8 +18,9 @@ from . import textbytes as B
 BUCKET_BITS = 15
 RANK = 8
 MAX_FIT_ROWS = 8192
-EPOCHS = 12
-BATCH = 128
+EPOCHS = 10  # passes over the sample; more of a small one, for at least so many steps
+STEPS = 1000
+BATCH = 48
 THRESHOLD = 0.7
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -113,8 +114,9 @@ class Machine:
         self.bias = float(np.log(share / (1 - share)))
         sw, sv, sb = np.full(self.weight.shape, 1e-6), np.full(self.factor.shape, 1e-6), 1e-6
         order, n = np.random.RandomState(5), len(label)
-        for epoch in range(EPOCHS):
-            for pick in np.array_split(order.permutation(n), max(1, n // BATCH)):
+        batches = max(1, n // BATCH)
+        for _ in range(max(EPOCHS, -(-STEPS // batches))):
+            for pick in np.array_split(order.permutation(n), batches):
                 own = begin[pick + 1] - begin[pick]
                 b = np.concatenate([[0], np.cumsum(own)])
                 src = np.repeat(begin[pick] - b[:-1], own) + np.arange(b[-1])
