@@ -301,7 +301,9 @@ def _scorer(mixer, top):
 def fit_mixer(pairs: DataFrame) -> Mixer:
     """Model of the token counts ``kind, token, n``.  Only its tables of fixed size and one row a shard reach the driver."""
     spark = pairs.sparkSession
-    counts = pairs.select("kind", "token", "n").mapInArrow(_count_bits, "slot int, zeros bigint, ones bigint")
+    # Tokens that begin alike go to one task, so that few tasks count the same slot.
+    alike = pairs.select("kind", "token", "n").repartitionByRange("token")
+    counts = alike.mapInArrow(_count_bits, "slot int, zeros bigint, ones bigint")
     code = (_code(F.sum("zeros")) * 256 + _code(F.sum("ones"))).alias("code")
     got = counts.groupBy("slot").agg(code).toArrow()
     codes = np.zeros(_SLOTS, np.uint16)
