@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import textbytes as B
 
-TABLE_BITS = (16, 18, 20, 21, 23)  # slots of each predictor: last one, two, three, four bytes, the token so far
+TABLE_BITS = (16, 18, 20, 20, 22)  # slots of each predictor: last one, two, three, four bytes, the token so far
 ORDERS = len(TABLE_BITS)
 TOP_TOKENS = 1 << 17
 SHARD_ROWS = 200_000
