@@ -15,8 +15,8 @@ once and remembered in a bounded cache.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -27,6 +27,22 @@ from . import textbytes as B
 
 SPACE = "▁"
 CACHE = 1 << 18
+LONGEST_WORD = 64  # longer ones are not remembered
+
+
+class Words(dict):
+    """Ids of words as int32 bytes, encoded when first asked for; emptied when full."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.fromiter(self.model.stream(word), np.int32).tobytes()
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class PieceModel:
@@ -61,11 +77,24 @@ class PieceModel:
             node[""] = piece
         self._pairs: dict[tuple[str | None, str], bool] = {}
         self._parts: dict[str, tuple[str, str] | None] = {}
+        marks = [x.replace(SPACE, " ").encode() for x in self.pieces]
+        for b, i in enumerate(self.bytes):
+            marks[i] = bytes([b])
+        self._spelled = np.frombuffer(b"".join(marks), np.uint8)
+        self._from = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
+        self._ends: dict = {}  # the pieces letter by letter from their ends
+        for piece in self.ids:
+            node = self._ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
+        self._pairs: dict[tuple[str | None, str], bool] = {}
+        self._parts: dict[str, tuple[str, str] | None] = {}
         marks = [b.encode() for b in (x.replace(SPACE, " ") for x in self.pieces)]
         for b, i in enumerate(self.bytes):
             marks[i] = bytes([b])
         self._bytes_of = marks.__getitem__
-        self.encode_word = lru_cache(CACHE)(self._encode_word)
+        self.words = Words(self)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Byte-pair merging of a few characters: the best-scored pair first, the leftmost of equals."""
@@ -192,24 +221,23 @@ class PieceModel:
             else:
                 yield from (self.bytes[b] for b in piece.encode())
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.stream(word))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; an empty text has none."""
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as int32 bytes; an empty text has none."""
         if not text:
-            return []
+            return b""
         marked = SPACE + text.replace(" ", SPACE)
-        if self._cuts is None:
-            return list(self.stream(marked))
-        out: list[int] = []
-        for word in self._cuts.findall(marked):
-            out.extend(self.encode_word(word) if len(word) <= 256 else self.stream(word))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+        words = [marked] if self._cuts is None else self._cuts.findall(marked)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def decode(self, ids) -> str:
         """Text of ids: pieces joined, runs of byte pieces read as UTF-8, space marks as spaces, the leading one dropped."""
-        text = b"".join(map(self._bytes_of, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        begin, size = self._from[ids], self._from[ids + 1] - self._from[ids]
+        at = np.cumsum(size) - size
+        text = self._spelled[np.repeat(begin - at, size) + np.arange(size.sum())].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -229,36 +257,56 @@ def _send(spark, model_path: str) -> str:
     return model_path.rsplit("/", 1)[-1]
 
 
+def _id_lists(coded: list[bytes | None]) -> pa.Array:
+    """Lists of int32 from their bytes; None gives a null list."""
+    off = np.concatenate([[0], np.cumsum([len(c or b"") // 4 for c in coded])]).astype(np.int32)
+    ids = pa.array(np.frombuffer(b"".join(c or b"" for c in coded), np.int32))
+    mask = pa.array([c is None for c in coded], pa.bool_()) if None in coded else None
+    return pa.ListArray.from_arrays(pa.array(off), ids, mask=mask)
+
+
+def _encoded(model: PieceModel, col: pa.Array) -> pa.Array:
+    return _id_lists([None if x is None else model.encode_bytes(x) for x in col.to_pylist()])
+
+
+def _decoded(model: PieceModel, col: pa.Array) -> pa.Array:
+    off, ids = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    null = col.is_null().to_numpy(zero_copy_only=False)
+    return pa.array([None if n else model.decode(ids[a:b]) for a, b, n in zip(off[:-1], off[1:], null, strict=True)], pa.string())
+
+
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns of ``docs`` and ``ids_col``: the whole text's ids.  A null text has null ids, an empty one none.
 
     One row per input row, in place, without a shuffle.  If ``docs`` has a column of that name, use another.
     """
-    return _mapped(docs, model_path, text_col, ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), "encode")
+    return _mapped(docs, model_path, text_col, {ids_col: T.ArrayType(T.IntegerType())}, lambda m, c: [_encoded(m, c)])
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All columns and ``text_col``: the text of the ids.  Null ids give a null text."""
-    return _mapped(docs, model_path, ids_col, text_col, T.StringType(), pa.string(), "decode")
+    return _mapped(docs, model_path, ids_col, {text_col: T.StringType()}, lambda m, c: [_decoded(m, c)])
 
 
-def _mapped(docs: DataFrame, model_path: str, source: str, target: str, kind, arrow, what: str) -> DataFrame:
-    if target in docs.columns:
-        raise ValueError(f"there is a column {target} already")
+def _mapped(docs: DataFrame, model_path: str, source: str, targets: dict, make) -> DataFrame:
+    """Columns made from one column, added to the others in place."""
+    if set(targets) & set(docs.columns):
+        raise ValueError(f"there is a column {', '.join(targets)} already")
     name = _send(docs.sparkSession, model_path)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(source)
     src = docs.toDF(*names)
+    out = [f"out{i}" for i in range(len(targets))]
 
     def run(batches):
-        call = getattr(_model(name), what)
+        model = _model(name)
         for batch in batches:
-            parts = B.slices(batch, names[at]) if what == "encode" else [batch]
-            for part in parts:
-                got = pa.array([None if x is None else call(x) for x in part.column(at).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*names, "out"])
+            text = pa.types.is_string(batch.column(at).type) or pa.types.is_large_string(batch.column(at).type)
+            for part in B.slices(batch, names[at]) if text else (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(model, part.column(at))], names=[*names, *out])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("out", kind)])).toDF(*docs.columns, target)
+    fields = [T.StructField(o, t) for o, t in zip(out, targets.values(), strict=True)]
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, *fields])).toDF(*docs.columns, *targets)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,6 +315,12 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     Null counts as empty: no ids, and the round trip holds.  A text that holds the space mark itself (U+2581) does not
     come back: the mark is read as a space, as in the library.
     """
+
+    def both(model, col):
+        ids = _encoded(model, col)
+        back = _decoded(model, ids)
+        return [ids, pa.array([a == b for a, b in zip(col.to_pylist(), back.to_pylist(), strict=True)])]
+
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode_documents(encode_documents(src, model_path), model_path)
-    return both.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("bigint").alias("n_ids"), F.octet_length("text").cast("bigint").alias("n_bytes"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    made = _mapped(src, model_path, "text", {"ids": T.ArrayType(T.IntegerType()), "same": T.BooleanType()}, both)
+    return made.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("bigint").alias("n_ids"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.col("same").alias("round_trip"))
