@@ -3,7 +3,8 @@
 Every measure is one declarative aggregate over one scan (partial aggregate
 per task, one small shuffle of partial states).  Money is summed as exact
 cents (integer count, decimal total) so the result does not depend on
-partitioning, and reported as double.  Sums over no rows are 0, not null.
+partitioning (amounts that are not whole cents, or are beyond the cent range,
+are added as doubles), and reported as double.  Sums over no rows are 0, not null.
 """
 
 from __future__ import annotations
@@ -20,43 +21,49 @@ from ..schema import AMOUNT, CATEGORY, DATE, DESCRIPTION, EXPENSE, INCOME, LEDGE
 
 
 
-# Amounts at or beyond this magnitude have no exact cent count in a long; they
-# count as null (left out of sums) instead of failing the job.
+# Whole-cent amounts below this magnitude are counted as cents in a long; all others are summed as they are.
 CENT_LIMIT = 9.0e15
 CENTS = T.DecimalType(18, 0)
 ONE_CENT = Decimal("0.01")
+BROADCAST_KEYS = 10_000
 
 
 def _zero() -> Column:
     return F.lit(0).cast(CENTS)
 
 
-def cents(c: Column | None = None) -> Column:
-    """Amount as an exact count of cents (half away from zero), typed DECIMAL(18,0).
+def _whole_cents(x: Column) -> Column:
+    """Cents of an amount that is a whole number of them (typed DECIMAL(18,0)), else null.
 
     Computed with primitive double/long arithmetic (Spark's double->decimal
-    cast formats every value as text first).  Summing DECIMAL(18,0) gives a
-    DECIMAL(28,0) total: exact, order-free, and no long overflow at any scale.
+    cast formats every value as text first).
     """
-    x = F.col(AMOUNT) if c is None else c
     units = F.floor(F.abs(x) * F.lit(100.0) + F.lit(0.5))
     signed = F.when(x < 0, -units).otherwise(units)
-    return F.when(F.abs(x) < F.lit(CENT_LIMIT), signed).cast(CENTS)
+    return F.when((F.abs(x) < F.lit(CENT_LIMIT)) & (units.cast("double") / F.lit(100.0) == F.abs(x)), signed).cast(CENTS)
 
 
 def money_sum(cond: Column | None = None) -> Column:
-    """Exact sum of cents (optionally of rows matching ``cond``); null when no rows."""
-    return F.sum(cents() if cond is None else F.when(cond, cents()))
+    """Sum of amounts (optionally of rows matching ``cond``) in two parts, so that nothing is rounded away.
+
+    ``cents``: whole-cent amounts, exact and independent of partition order
+    (DECIMAL(18,0) sums to DECIMAL(28,0)).  ``rest``: all other amounts, as doubles.
+    """
+    x = F.col(AMOUNT) if cond is None else F.when(cond, F.col(AMOUNT))
+    whole = _whole_cents(x)
+    rest = F.when(whole.isNull() & ~F.isnan(x), x)
+    return F.struct(F.sum(whole).alias("cents"), F.sum(rest).alias("rest"))
 
 
-def to_money(c: Column) -> Column:
-    """A cent count (null = 0) as currency units in double."""
-    return (F.coalesce(c, _zero()) * F.lit(ONE_CENT)).cast("double")
+def to_money(m: Column) -> Column:
+    """A two-part sum as currency units in double (0 for no rows)."""
+    whole = (F.coalesce(m["cents"], _zero()) * F.lit(ONE_CENT)).cast("double")
+    return whole + F.coalesce(m["rest"], F.lit(0.0))
 
 
-def as_money(c: Column) -> Column:
-    """Decimal sum of cents -> double currency units, 0 for no rows."""
-    return to_money(c)
+def _minus(a: Column, b: Column) -> Column:
+    cents = F.coalesce(a["cents"], _zero()) - F.coalesce(b["cents"], _zero())
+    return F.struct(cents.alias("cents"), (F.coalesce(a["rest"], F.lit(0.0)) - F.coalesce(b["rest"], F.lit(0.0))).alias("rest"))
 
 
 def _ntz(value) -> Column:
@@ -98,11 +105,11 @@ def kpi_totals(ledger: DataFrame) -> DataFrame:
         money_sum(F.col(TYPE) == EXPENSE).alias("_exp"),
         F.count(F.lit(1)).alias("txn_count"),
     )
-    inc, exp = F.coalesce(F.col("_inc"), _zero()), F.coalesce(F.col("_exp"), _zero())
+    inc, exp = F.col("_inc"), F.col("_exp")
     return agg.select(
         to_money(inc).alias("income"),
         to_money(exp).alias("expense"),
-        to_money(inc - exp).alias("balance"),
+        to_money(_minus(inc, exp)).alias("balance"),
         "txn_count",
     )
 
@@ -131,14 +138,14 @@ def monthly_net(ledger: DataFrame) -> DataFrame:
         .groupBy(m.alias("month"))
         .agg(money_sum(F.col(TYPE) == INCOME).alias("_inc"), money_sum(F.col(TYPE) == EXPENSE).alias("_exp"))
     )
-    inc, exp = F.coalesce(F.col("_inc"), _zero()), F.coalesce(F.col("_exp"), _zero())
+    inc, exp = F.col("_inc"), F.col("_exp")
     return agg.select(
         "month",
         month_key(F.col("month")).alias("month_key"),
         month_short(F.col("month")).alias("label"),
         to_money(inc).alias("income"),
         to_money(exp).alias("expense"),
-        to_money(inc - exp).alias("net"),
+        to_money(_minus(inc, exp)).alias("net"),
     ).transform(_small_sorted, "month")
 
 
@@ -153,7 +160,7 @@ def distinct_months(ledger: DataFrame) -> DataFrame:
 
 
 def _by_category(ledger: DataFrame) -> DataFrame:
-    """Grouped cents and counts per non-null category (a null category is no group)."""
+    """Grouped two-part sums and counts per non-null category (a null category is no group)."""
     return (
         ledger.where(F.col(CATEGORY).isNotNull())
         .groupBy(CATEGORY)
@@ -163,7 +170,7 @@ def _by_category(ledger: DataFrame) -> DataFrame:
 
 def expense_by_category(ledger: DataFrame) -> DataFrame:
     g = _by_category(ledger.where(F.col(TYPE) == EXPENSE))
-    return g.select(CATEGORY, as_money(F.col("_amt")).alias("amount"), "txn_count")
+    return g.select(CATEGORY, to_money(F.col("_amt")).alias("amount"), "txn_count")
 
 
 def top_expense_category(ledger: DataFrame) -> DataFrame:
@@ -174,10 +181,10 @@ def top_expense_category(ledger: DataFrame) -> DataFrame:
     without a sort and returns one row even for empty input.
     """
     g = _by_category(ledger.where(F.col(TYPE) == EXPENSE))
-    best = g.agg(F.min(F.struct((-F.coalesce(F.col("_amt"), _zero())).alias("neg"), F.col(CATEGORY).alias("cat"))).alias("b"))
+    best = g.agg(F.min(F.struct((-to_money(F.col("_amt"))).alias("neg"), F.col(CATEGORY).alias("cat"))).alias("b"))
     return best.select(
         F.coalesce(F.col("b.cat"), F.lit("None")).alias(CATEGORY),
-        to_money(-F.col("b.neg")).alias("amount"),
+        (F.lit(0.0) - F.coalesce(F.col("b.neg"), F.lit(0.0))).alias("amount"),
     )
 
 
@@ -221,9 +228,10 @@ def _with_share(g: DataFrame) -> DataFrame:
     once, reusing the group-by's exchange), so the per-category rows stay
     distributed.  ``try_divide``: a zero total gives null instead of an error.
     """
-    total = g.agg(F.sum(F.col("_amt"))).scalar()
-    amount = as_money(F.col("_amt"))
-    return g.select(CATEGORY, amount.alias("amount"), F.try_divide(amount, as_money(total)).alias("share"))
+    parts = F.struct(F.sum("_amt.cents").alias("cents"), F.sum("_amt.rest").alias("rest"))
+    total = g.agg(to_money(parts)).scalar()
+    amount = to_money(F.col("_amt"))
+    return g.select(CATEGORY, amount.alias("amount"), F.try_divide(amount, total).alias("share"))
 
 
 def category_share(ledger: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -250,14 +258,14 @@ def top_categories(ledger: DataFrame, n: int = TOP_N) -> DataFrame:
     """
     g = _by_category(ledger)
     w = Window.orderBy(F.col("txn_count").desc(), F.col(CATEGORY).asc())
-    ranked = g.select(CATEGORY, "txn_count", as_money(F.col("_amt")).alias("amount"), F.row_number().over(w).cast("long").alias("rank"))
+    ranked = g.select(CATEGORY, "txn_count", to_money(F.col("_amt")).alias("amount"), F.row_number().over(w).cast("long").alias("rank"))
     return ranked.where(F.col("rank") <= n)
 
 
 def top_category_rows(ledger: DataFrame, n: int = TOP_N) -> DataFrame:
-    """Ledger rows of the top-``n`` categories; the key set holds at most n rows, so it is broadcast."""
+    """Ledger rows of the top-``n`` categories; the key set holds at most n rows, so it is broadcast (for a large n the optimizer decides)."""
     keys = top_categories(ledger, n).select(CATEGORY)
-    return ledger.join(F.broadcast(keys), on=CATEGORY, how="left_semi")
+    return ledger.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, on=CATEGORY, how="left_semi")
 
 
 def category_drilldown(ledger: DataFrame, category: str | None) -> DataFrame:

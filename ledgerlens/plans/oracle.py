@@ -32,7 +32,7 @@ DIRTY_ORDERS = """dirty_orders AS (
          o_orderkey, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority
   FROM orders)"""
 
-CENTS = 'CAST("Amount" AS DECIMAL(18,2))'
+CENTS = 'CAST("Amount" AS DECIMAL(38,8))'
 INC = f"""SUM(CASE WHEN "Type" = 'Income' THEN {CENTS} END)"""
 EXP = f"""SUM(CASE WHEN "Type" = 'Expense' THEN {CENTS} END)"""
 
@@ -240,21 +240,6 @@ SYSTEM = (
     "Always format currency in Indian Rupees (₹)."
 )
 PROMPT_HEAD_SQL = "'You are a helpful financial assistant.' || chr(10) || 'Transaction Data:' || chr(10)"
-DEMO = {
-    "Description": ["Salary", "Rent", "Groceries", "Uber", "Netflix", "Dividends", "Gym", "Dining Out", "Flight", "Consulting"],
-    "Amount": [5000, 2000, 300, 45, 15, 150, 60, 120, 400, 1500],
-    "Category": ["Income", "Rental", "Grocery", "Travel", "Entertainment", "Investments", "Health", "Food", "Travel", "Business"],
-    "Type": ["Income", "Expense", "Expense", "Expense", "Expense", "Income", "Expense", "Expense", "Expense", "Income"],
-}
-
-
-def _pick(col: str) -> str:
-    vals = DEMO[col]
-    lit = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in vals)
-    expr = f"list_extract([{lit}], CAST(id % 10 + 1 AS INTEGER))"
-    return f"CAST({expr} AS DOUBLE)" if col == "Amount" else expr
-
-
 ORACLE.update(
     {
         "csv_scan": f"""WITH {DIRTY_ORDERS}, raw AS (
@@ -269,10 +254,6 @@ FROM events WHERE event_type IN ('signup', 'purchase')
 UNION ALL
 SELECT ts, props, value, event_type, NULL, user_id FROM events WHERE event_type NOT IN ('signup', 'purchase')""",
         "replace_ledger": f"WITH {LEDGER} SELECT * FROM ledger",
-        "demo_ledger": f"""SELECT TIMESTAMP '2026-01-01 00:00:00' - (n - 1 - id) * INTERVAL 1 DAY AS "Date",
-       {_pick('Description')} AS "Description", {_pick('Amount')} AS "Amount",
-       {_pick('Category')} AS "Category", {_pick('Type')} AS "Type"
-FROM (SELECT row_number() OVER () - 1 AS id, count(*) OVER () AS n FROM orders)""",
         "pending_turns": f"WITH {PENDING} SELECT * FROM pending",
         "append_answers": f"""WITH {PENDING}
 SELECT conv_id, turn, role, text FROM conversations

@@ -294,15 +294,6 @@ def q_replace_ledger(spark, d):
     return read_current_ledger(spark, root)
 
 
-@register("demo_ledger")
-def q_demo_ledger(spark, d):
-    """The demo pattern over as many days as there are orders, ending at the fixed clock."""
-    from ..sources.demo import demo_ledger
-
-    n = A.table(spark, d, "orders").count()
-    return demo_ledger(spark, n, AS_OF)
-
-
 # --- conversations, retrieval, prompts ---------------------------------------
 
 

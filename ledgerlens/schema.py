@@ -23,7 +23,6 @@ LEDGER = T.StructType(
 LEDGER_COLUMNS = [f.name for f in LEDGER.fields]
 
 # Money is summed exactly as cents, then reported as double.
-MONEY = T.DecimalType(18, 2)
 
 # --- fixed values (must equal the dashboard's behaviour) -------------------
 # Columns an upload must carry after header normalisation.

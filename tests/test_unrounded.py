@@ -1,0 +1,70 @@
+"""Amounts of any size and finer than a cent, long quoted fields, and awkward vectors."""
+
+import datetime as dt
+import resource
+
+import numpy as np
+import pytest
+
+from ledgerlens.functions.text import amount_text
+from ledgerlens.operators import metrics as M
+from ledgerlens.operators.knn import block_topk, knn
+from ledgerlens.sources.csv import read_ledger_csv
+
+SCHEMA = "Date timestamp_ntz, Description string, Amount double, Category string, Type string"
+
+
+def ledger(spark, rows):
+    day = dt.datetime(2024, 5, 1)
+    return spark.createDataFrame([(day, "d", a, c, t) for a, c, t in rows], SCHEMA)
+
+
+def test_large_and_fine_amounts_count(spark):
+    big = ledger(spark, [(1e16, "X", "Income"), (100.0, "X", "Income"), (9.1e15, "Y", "Expense")])
+    got = M.kpi_totals(big).first()
+    assert (got.income, got.expense, got.balance, got.txn_count) == (1e16 + 100, 9.1e15, 1e16 + 100 - 9.1e15, 3)
+    assert tuple(M.top_expense_category(big).first()) == ("Y", 9.1e15)
+    fine = ledger(spark, [(0.004, "X", "Expense")] * 1000)
+    assert M.kpi_totals(fine).first().expense == pytest.approx(4.0)
+    assert M.expense_by_category(fine).first().amount == pytest.approx(4.0)
+    share = M.category_share(ledger(spark, [(1e16, "X", "Expense"), (1e16, "Y", "Expense")])).collect()
+    assert [r.share for r in share] == [0.5, 0.5]
+    assert tuple(M.top_expense_category(ledger(spark, [])).first()) == ("None", 0.0)
+
+
+def test_amount_text_has_one_format(spark):
+    values = {5000.0: "5000.0", 12.35: "12.35", -12.3: "-12.3", 0.001: "0.001", 0.004: "0.004", 8e13: "80000000000000.0", 1e14: "100000000000000.0", 1e16: "10000000000000000.0", 1e22: "1" + "0" * 22 + ".0", -0.125: "-0.125", 0.0: "0.0"}
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert {r.x: r.t for r in df.select("x", amount_text(df.x).alias("t")).collect()} == values
+
+
+def test_long_quoted_field(spark, tmp_path):
+    long = "a,b" * 350_000  # about 1 MB
+    (tmp_path / "x.csv").write_text(f'Date,Description,Amount,Category\n2024-01-02,"{long}",5,"say ""hi"", then"\n')
+    row = read_ledger_csv(spark, str(tmp_path / "x.csv")).first()
+    assert row.Description == long and row.Amount == 5.0
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
+def test_bad_vectors_and_repeated_ids(spark, strategy):
+    rng = np.random.RandomState(0)
+    good = [(i, rng.rand(4).tolist(), "") for i in range(50)]
+    bad = [(100, [float("nan"), 0.0, 0.0, 0.0], ""), (101, [None, 0.0, 0.0, 0.0], ""), (102, [float("inf"), 0.0, 0.0, 0.0], "")]
+    corpus = spark.createDataFrame(good + bad, "row_id long, embedding array<float>, text string")
+    ask = [(1, [0.1] * 4), (1, [0.9] * 4), (2, [0.5] * 4), (3, [float("nan")] * 4)]
+    queries = spark.createDataFrame(ask, "query_id long, embedding array<float>")
+    got = knn(queries, corpus, 5, strategy=strategy)
+    x = {i: np.float64(np.float32(v)) for i, v, _ in good}
+    for q in (1, 2, 3):
+        pairs = sorted((float(((np.float64(np.float32(v)) - c) ** 2).sum()), i) for j, v in ask if j == q and np.isfinite(v).all() for i, c in x.items())[:5]
+        hits = got.where(f"query_id = {q}").orderBy("rank").collect()
+        assert [h.row_id for h in hits] == [i for _, i in pairs] and [h["rank"] for h in hits] == list(range(1, len(pairs) + 1))
+
+
+def test_tied_distances_stay_small():
+    q, c = np.random.RandomState(1).rand(512, 64), np.ones((20_000, 64))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    _, hits, _, ranks = block_topk(np.arange(512), q, np.arange(20_000), c, 5)
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert hits.reshape(512, 5).tolist() == [[0, 1, 2, 3, 4]] * 512 and ranks.max() == 5
+    assert grown < 1500
