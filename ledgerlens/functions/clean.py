@@ -6,7 +6,7 @@ codegen and are pushed into whatever scan feeds them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +22,21 @@ def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
-def parse_timestamp(c: Column, fmt: str | None = None) -> Column:
+def parse_timestamp(c: Column, fmt: str | Sequence[str] | None = None) -> Column:
     """String -> TIMESTAMP_NTZ.  Blank is null; unparsable raises under ANSI mode.
 
     ``fmt`` is an explicit Spark datetime pattern; without it the ISO cast rules
     apply (``yyyy-MM-dd``, ``yyyy-MM-dd HH:mm:ss[.SSSSSS]``, ``T`` separator).
+    Of a list of patterns, the first that fits counts; the last one raises.
     """
     s = F.when(F.trim(c) != "", F.trim(c))
+    if fmt and not isinstance(fmt, str):
+        *first, last = fmt
+        return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast(T.TimestampNTZType()) for f in first], parse_timestamp(c, last))
     return F.to_timestamp_ntz(s, F.lit(fmt)) if fmt else F.to_timestamp_ntz(s)
 
 
-def to_timestamp_ntz(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
+def to_timestamp_ntz(c: Column, dtype: T.DataType, fmt: str | Sequence[str] | None = None) -> Column:
     """Bring a Date column of any physical type to TIMESTAMP_NTZ."""
     if isinstance(dtype, T.TimestampNTZType):
         return c
@@ -41,7 +45,7 @@ def to_timestamp_ntz(c: Column, dtype: T.DataType, fmt: str | None = None) -> Co
     return parse_timestamp(c.cast("string"), fmt)
 
 
-def parse_date(df: DataFrame, fmt: str | None = None, column: str = DATE) -> DataFrame:
+def parse_date(df: DataFrame, fmt: str | Sequence[str] | None = None, column: str = DATE) -> DataFrame:
     """Parse ``column`` to TIMESTAMP_NTZ in place; a no-op when already a timestamp."""
     dtype = df.schema[column].dataType
     return df.withColumn(column, to_timestamp_ntz(F.col(column), dtype, fmt))

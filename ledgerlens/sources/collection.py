@@ -2,18 +2,14 @@
 
 A collection is a folder of JSON-lines record files (schemaless records,
 one id per record, append-only).  Reading it yields the union of all keys,
-missing keys as null.  Every append also records its frame's schema under
-``_schemas/`` (one small file per distinct schema; the leading underscore
-hides it from file readers), so reading merges those few schemas instead of
-inferring one from a full pass over the records.  The working ledger is
-replaced by writing a new version folder, never by overwriting the folder
-being read.
+missing keys as null.  The reader's own inference finds the keys of every
+record, whoever wrote it; a caller who knows the schema passes it and saves
+that pass.  The working ledger is replaced by writing a new version folder,
+never by overwriting the folder being read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 import time
 import uuid
 from collections.abc import Iterable, Sequence
@@ -28,7 +24,6 @@ from .csv import require_columns
 
 ID = "_id"
 MONTH_KEY = "month_key"
-SCHEMAS = "_schemas"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -43,56 +38,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _record_schema(spark: SparkSession, root: str, schema: T.StructType) -> None:
-    """Store an append's schema under ``<root>/_schemas``, named by its hash (one file per distinct schema)."""
-    text = schema.json()
-    name = hashlib.sha256(text.encode("utf-8")).hexdigest()
-    fs, p = _fs_and_path(spark, f"{root.rstrip('/')}/{SCHEMAS}/{name}.json")
-    if fs.exists(p):
-        return
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-
-
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
-
-def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The type two appends' columns of one name are read as (as JSON inference widens them)."""
-    if a == b:
-        return a
-    if isinstance(a, T.NullType):
-        return b
-    if isinstance(b, T.NullType):
-        return a
-    if isinstance(a, _INTEGRAL) and isinstance(b, _INTEGRAL):
-        return T.LongType()
-    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
-        return T.DoubleType()
-    return T.StringType()
-
-
-def merge_schemas(schemas: Iterable[T.StructType]) -> T.StructType:
-    """Union of the fields of several schemas, conflicting types widened, names sorted (as inference orders them)."""
-    types: dict[str, T.DataType] = {}
-    for sc in schemas:
-        for f in sc.fields:
-            types[f.name] = _wider(types[f.name], f.dataType) if f.name in types else f.dataType
-    return T.StructType([T.StructField(n, types[n], True) for n in sorted(types)])
-
-
-def recorded_schema(spark: SparkSession, root: str) -> T.StructType | None:
-    """The merged schema of a collection's appends; None when none was recorded (then the reader infers)."""
-    folder = f"{root.rstrip('/')}/{SCHEMAS}"
-    if not path_exists(spark, folder):
-        return None
-    texts = [r.value for r in spark.read.text(folder, wholetext=True).collect()]
-    return merge_schemas(T.StructType.fromJson(json.loads(t)) for t in texts) if texts else None
-
-
 def append_collection(
     records: DataFrame,
     path: str,
@@ -114,12 +59,11 @@ def append_collection(
     """
     require_columns(records.columns, required)
     cols = records.columns
-    # The schema is recorded before any record is written, so no record file lacks it.
-    _record_schema(records.sparkSession, path, T.StructType([T.StructField(ID, T.StringType(), True)] + list(records.schema.fields)))
     rid = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampNTZFormat": TS_FORMAT}), 256) if idempotent else F.expr("uuid()")
     obs = Observation(f"append_{uuid.uuid4().hex}")
     out = records.select(rid.alias(ID), *cols).observe(obs, F.count(F.lit(1)).alias("n"))
-    w = out.write.mode("append").option("timestampNTZFormat", TS_FORMAT)
+    # Nulls are written, so a key that is null in every record is still a key.
+    w = out.write.mode("append").option("timestampNTZFormat", TS_FORMAT).option("ignoreNullFields", False)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
     w.json(path)
@@ -134,13 +78,11 @@ def read_collection(
 ) -> DataFrame:
     """All records of one or more collections; columns are the union of keys.
 
-    Each collection is read with the merge of the schemas its appends
-    recorded (no inference pass over the records); ``schema`` overrides it,
-    and a folder without recorded schemas is inferred.  An append's schema
-    is recorded before its records, so an append of no rows (or one that
-    failed) still contributes its columns, as nulls.  A missing or empty
-    collection gives an empty ledger.  A text ``Date`` is parsed to
-    TIMESTAMP_NTZ.
+    The keys and types are inferred over all records (one pass; conflicting
+    types are widened); ``schema`` replaces that pass where it is known.
+    Records of other writers count like our own, and an append of no rows
+    adds no key.  A missing or empty collection gives an empty ledger.  A
+    text ``Date`` is parsed to TIMESTAMP_NTZ.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
     roots = [p for p in roots if path_exists(spark, p)]
@@ -149,10 +91,7 @@ def read_collection(
     frames = []
     for root in roots:
         reader = spark.read.option("timestampNTZFormat", TS_FORMAT)
-        known = schema if schema is not None else recorded_schema(spark, root)
-        if known is not None:
-            reader = reader.schema(known)
-        frames.append(reader.json(root))
+        frames.append((reader if schema is None else reader.schema(schema)).json(root))
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f, allowMissingColumns=True)

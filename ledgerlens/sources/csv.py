@@ -1,16 +1,17 @@
 """CSV upload -> typed ledger.
 
-One lazy pass: the file is read all-string with the header's width plus one
-``_overflow`` column, missing-value tokens become null, headers are
-normalised on the driver (metadata only), then Date is parsed, Amount
-coerced and Type inferred when absent.  A row with more fields than the
-header, or a date that does not parse, fails the job (the upload is
-rejected as a whole) through a filter that column pruning cannot remove.
-
-The CSV reader gives an empty extra field (``a,b,c,d,``) the same null as a
-missing one, so long rows are also counted on the raw lines: a scalar
-subquery over ``spark.read.text`` strips quoted sections and counts the
-delimiters.  It runs as part of the same query, only when the rows are used.
+One lazy pass: the file is read all-string, missing-value tokens become
+null, headers are normalised on the driver (metadata only), then Date is
+parsed, Amount coerced and Type inferred when absent.  A row with more
+fields than the header, or a date that does not parse, fails the job (the
+upload is rejected as a whole) through a filter that column pruning cannot
+remove.
+
+Every part of an upload must have the first part's header: the reader
+checks each file's header and fails the job otherwise.  The reader keeps the
+raw text of rows with another number of fields than the header, so fields
+are counted on those rows alone: more fields (empty ones included, as in
+``a,b,c,d,``) reject the upload, fewer leave the last columns null.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from ..functions.clean import amount_expr, na_to_null, parse_timestamp, type_expr
 from ..schema import AMOUNT, CATEGORY, DATE, DESCRIPTION, INCOME_KEYWORDS, LEDGER_COLUMNS, REQUIRED_SYNC, REQUIRED_UPLOAD, TYPE
 
-OVERFLOW = "_overflow"
+RAW_ROW = "_raw_row"
 # A quote inside a quoted field is doubled (RFC 4180, as pandas reads it); Spark's default escape is a backslash.
 QUOTE = '"'
 
@@ -62,15 +63,12 @@ def require_columns(columns: Iterable[str], required: Iterable[str] = REQUIRED_U
         raise ValueError(f"Missing columns: {', '.join(missing)}")
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
+def read_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
     """The raw header names: the first CSV record, read without inference."""
-    first = spark.read.option("header", False).option("escape", QUOTE).csv(path).first()
+    first = spark.read.option("header", False).option("escape", QUOTE).option("multiLine", multiline).csv(path).first()
     if first is None:
         raise ValueError(f"No header in {path}")
-    names = [("" if v is None else v) for v in first]
-    if names and names[0].startswith("\ufeff"):  # a UTF-8 byte-order mark is not part of the name
-        names[0] = names[0][1:]
-    return names
+    return [("" if v is None else v) for v in first]
 
 
 # A quoted section; delimiters within it do not separate fields.  A doubled quote is two
@@ -78,32 +76,27 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 QUOTED_FIELD = r'"[^"]*"'
 
 
-def long_line_count(spark: SparkSession, path: str, width: int, sep: str = ",") -> Column:
-    """Scalar subquery: lines of ``path`` with more than ``width`` fields, empty extra fields included.
-
-    Quoted sections are stripped only from lines that have a quote; fields
-    are counted as delimiters + 1 (no per-line array).
-    """
+def field_count(row: Column, sep: str = ",") -> Column:
+    """Fields of a raw CSV row: delimiters outside quoted sections + 1 (no per-row array)."""
     if len(sep) != 1:
         raise ValueError("single-character delimiter expected")
-    line = F.col("value")
-    unquoted = F.when(line.contains(QUOTE), F.regexp_replace(line, QUOTED_FIELD, "")).otherwise(line)
-    fields = F.length(unquoted) - F.length(F.translate(unquoted, sep, "")) + F.lit(1)
-    return spark.read.text(path).where(fields > F.lit(width)).agg(F.count(F.lit(1))).scalar()
+    unquoted = F.when(row.contains(QUOTE), F.regexp_replace(row, QUOTED_FIELD, "")).otherwise(row)
+    return F.length(unquoted) - F.length(F.translate(unquoted, sep, "")) + F.lit(1)
 
 
-def clean_ledger(raw: DataFrame, date_format: str | None = None, keywords: Iterable[str] = INCOME_KEYWORDS) -> DataFrame:
+def clean_ledger(raw: DataFrame, date_format: str | Sequence[str] | None = None, keywords: Iterable[str] = INCOME_KEYWORDS) -> DataFrame:
     """All-string ledger columns -> LEDGER types, extra columns carried as text.
 
-    The validity filter raises on a long row or an unparsable date.
+    The validity filter raises on an unparsable date, and on a ``RAW_ROW``
+    (kept by the reader for rows of another width) of more fields than columns.
     """
     cols = raw.columns
     date_raw = F.col(DATE)
     parsed = parse_timestamp(date_raw, date_format)
     checks = F.lit(True)
-    if OVERFLOW in cols:
-        checks = F.when(F.col(OVERFLOW).isNotNull(), F.raise_error(F.lit("CSV row has more fields than the header")))
-        checks = checks.otherwise(F.lit(True))
+    if RAW_ROW in cols:
+        long_row = F.coalesce(field_count(F.col(RAW_ROW)) > F.lit(len(cols) - 1), F.lit(False))
+        checks = F.when(long_row, F.raise_error(F.lit("CSV row has more fields than the header"))).otherwise(F.lit(True))
     checks = F.when(
         date_raw.isNotNull() & (F.trim(date_raw) != "") & parsed.isNull(),
         F.raise_error(F.concat(F.lit("Unparsable Date: "), date_raw)),
@@ -111,7 +104,7 @@ def clean_ledger(raw: DataFrame, date_format: str | None = None, keywords: Itera
     valid = raw.where(checks)
     category = F.col(CATEGORY) if CATEGORY in cols else F.lit(None).cast("string")
     typ = F.col(TYPE) if TYPE in cols else type_expr(category, F.col(DESCRIPTION), keywords)
-    extras = [c for c in cols if c not in LEDGER_COLUMNS and c != OVERFLOW]
+    extras = [c for c in cols if c not in LEDGER_COLUMNS and c != RAW_ROW]
     return valid.select(
         parsed.alias(DATE),
         F.col(DESCRIPTION),
@@ -125,35 +118,44 @@ def clean_ledger(raw: DataFrame, date_format: str | None = None, keywords: Itera
 def read_ledger_csv(
     spark: SparkSession,
     path: str,
-    date_format: str | None = None,
+    date_format: str | Sequence[str] | None = None,
     normalize: bool = True,
     required: Iterable[str] | None = None,
     keywords: Iterable[str] = INCOME_KEYWORDS,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read an uploaded transaction CSV (file or folder of parts) as a ledger.
 
     ``normalize=True`` is the upload contract (trimmed title-case headers,
     Category required); ``normalize=False`` the sync contract (exact headers,
-    Date/Description/Amount required, Category optional).
+    Date/Description/Amount required, Category optional).  ``date_format``
+    may list several patterns: the first that fits a date counts, and a date
+    that fits none rejects the upload.  ``multiline=True`` reads quoted fields
+    with line breaks (a file is then one task, as it cannot be split).
     """
-    header = read_header(spark, path)
-    names = [normalize_name(h) for h in header] if normalize else list(header)
+    header = read_header(spark, path, multiline)
+    plain = [h.lstrip("\ufeff") for h in header[:1]] + header[1:]  # a UTF-8 byte-order mark is not part of the name
+    names = [normalize_name(h) for h in plain] if normalize else plain
     check_unique(names)
     require_columns(names, required if required is not None else (REQUIRED_UPLOAD if normalize else REQUIRED_SYNC))
-    width = len(header)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(width + 1)])
+    # Headers that Spark would call ambiguous or that are blank cannot be checked by name.
+    checked = "" not in header and len({h.lower() for h in header}) == len(header) and RAW_ROW not in header
+    given = header if checked else [f"_c{i}" for i in range(len(header))]
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([T.StructField(c, T.StringType(), True) for c in [*given, RAW_ROW]]))
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", not checked)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", RAW_ROW)
+        .option("columnPruning", False)  # a pruned parser does not see a row's other fields
         .option("escape", QUOTE)
+        .option("multiLine", multiline)
+        .option("maxCharsPerColumn", -1)
         .csv(path)
-        .toDF(*names, OVERFLOW)
+        .toDF(*names, RAW_ROW)
     )
-    raw = raw.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names], OVERFLOW)
-    long_rows = F.when(long_line_count(spark, path, width) > 0, F.raise_error(F.lit("CSV row has more fields than the header")))
-    return clean_ledger(raw.where(long_rows.otherwise(F.lit(True))), date_format, keywords)
+    raw = raw.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names], RAW_ROW)
+    return clean_ledger(raw, date_format, keywords)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

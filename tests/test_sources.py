@@ -3,7 +3,8 @@
 import datetime as dt
 import glob
 
-from conftest import SF01
+import pytest
+from conftest import SF01, explain, nodes
 from pyspark.sql import functions as F
 
 from ledgerlens.schema import LEDGER, SYNC_COMMIT
@@ -138,35 +139,57 @@ def test_month_partitioned_write_few_files_hot_month_split(spark):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
-def test_collection_read_uses_recorded_schemas(spark):
-    from ledgerlens.sources.collection import merge_schemas, recorded_schema
-
+def test_collection_read_merges_the_keys_of_all_writers(spark):
     path = scratch_path(spark, "coll")
     d = dt.datetime(2024, 1, 1)
-    a = spark.createDataFrame([(d, "x", 1, "Food", 3)], "Date timestamp_ntz, Description string, Amount int, Category string, n long")
+    a = spark.createDataFrame([(d, "x", 1, None, 3)], "Date timestamp_ntz, Description string, Amount int, Category string, n long")
     b = spark.createDataFrame([(d, "y", 2.5, "z")], "Date timestamp_ntz, Description string, Amount double, n string")
+    foreign = spark.createDataFrame([("2024-01-02", "w", 4.0, "Shop")], "Date string, Description string, Amount double, Merchant string")
     append_collection(a, path, required=("Date", "Description", "Amount"))
     append_collection(b, path, required=("Date", "Description", "Amount"))
-    append_collection(b, path, required=("Date", "Description", "Amount"))  # same schema: no new file
-    rec = recorded_schema(spark, path)
-    assert [f.name for f in rec.fields] == sorted(["_id", "Date", "Description", "Amount", "Category", "n"])
-    types = {f.name: f.dataType.simpleString() for f in rec.fields}
-    assert types == {"_id": "string", "Date": "timestamp_ntz", "Description": "string", "Amount": "double", "Category": "string", "n": "string"}
-    assert len(glob.glob(local(path) + "/_schemas/*.json")) == 2
-    # reading with the recorded schema runs no inference pass over the records
-    sc = spark.sparkContext
-    sc.setJobGroup("read-coll", "read")
+    foreign.write.mode("append").json(path)
     df = read_collection(spark, path)
-    jobs = len(sc.statusTracker().getJobIdsForGroup("read-coll"))
-    sc.setJobGroup("after", "after")
-    assert jobs == 1  # the few schema files, not the records
-    got = sorted((r.Description, r.Amount, r.n) for r in df.collect())
-    assert got == [("x", 1.0, "3"), ("y", 2.5, "z"), ("y", 2.5, "z")]
-    assert len(merge_schemas([]).fields) == 0
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert types == {"Date": "timestamp_ntz", "Description": "string", "Amount": "double", "Category": "string", "Merchant": "string", "n": "string"}
+    got = sorted((r.Description, r.Amount, r.n, r.Merchant, r.Date.day) for r in df.collect())
+    assert got == [("w", 4.0, None, "Shop", 2), ("x", 1.0, "3", None, 1), ("y", 2.5, "z", None, 1)]
 
 
-def test_collection_without_recorded_schema_is_inferred(spark):
+def test_collection_of_another_writer(spark):
     path = scratch_path(spark, "foreign")
     spark.createDataFrame([("2024-01-01", "x", 1.5)], "Date string, Description string, Amount double").write.json(path)
     r = read_collection(spark, path).first()
     assert r.Date == dt.datetime(2024, 1, 1) and r.Amount == 1.5
+
+
+def test_csv_parts_with_another_header_order_are_rejected(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Description,Amount,Category\n2024-01-01,x,1,Food\n")
+    (tmp_path / "b.csv").write_text("Date,Category,Amount,Description\n2024-01-02,Food,2,y\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_ledger_csv(spark, str(tmp_path)).collect()
+
+
+def test_csv_is_scanned_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Description,Amount,Category\n2024-01-01,x,1,Food\n2024-01-02,short,2\n")
+    df = read_ledger_csv(spark, str(tmp_path))
+    assert nodes(explain(df), "Scan") == 1
+    assert df.count() == 2 and {r.Description: r.Category for r in df.collect()} == {"x": "Food", "short": None}
+
+
+def test_csv_with_line_breaks_and_long_fields(spark, tmp_path):
+    long = "z" * (1 << 20)
+    (tmp_path / "a.csv").write_text(f'Date,Description,Amount,Category\n2024-01-01,"two\nlines",1,Food\n2024-01-02,"{long}, x",2,Food\n')
+    got = [r.Description for r in read_ledger_csv(spark, str(tmp_path), multiline=True).orderBy("Date").collect()]
+    assert got == ["two\nlines", f"{long}, x"]
+    (tmp_path / "b.csv").write_text('Date,Description,Amount,Category\n2024-01-01,"two\nlines",1,Food,\n')
+    with pytest.raises(Exception, match="more fields than the header"):
+        read_ledger_csv(spark, str(tmp_path / "b.csv"), multiline=True).collect()
+
+
+def test_csv_list_of_date_formats(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Description,Amount,Category\n03/02/2024,x,1,Food\n5 Jan 2024,y,1,Food\n2024-03-01,z,1,Food\n,w,1,Food\n")
+    formats = ["yyyy-MM-dd", "d MMM yyyy", "dd/MM/yyyy"]
+    got = {r.Description: r.Date for r in read_ledger_csv(spark, str(tmp_path), date_format=formats).collect()}
+    assert got == {"x": dt.datetime(2024, 2, 3), "y": dt.datetime(2024, 1, 5), "z": dt.datetime(2024, 3, 1), "w": None}
+    with pytest.raises(Exception):
+        read_ledger_csv(spark, str(tmp_path), date_format=formats[:2]).collect()
