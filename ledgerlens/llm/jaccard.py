@@ -152,6 +152,50 @@ def _matrix(col: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype=kind).reshape(len(col), -1)
 
 
+def _components(rows: np.ndarray, near) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """Connected groups of some rows and the edges of a spanning forest.  ``near(x, rest)``: those of ``rest`` linked with x."""
+    groups, edges = [], []
+    while rows.size:
+        group, queue, rows = [int(rows[0])], [int(rows[0])], rows[1:]
+        while queue and rows.size:
+            x = queue.pop()
+            got = near(x, rows)
+            rows = np.setdiff1d(rows, got, assume_unique=True)
+            group.extend(got.tolist())
+            queue.extend(got.tolist())
+            edges += [(x, int(y)) for y in got]
+        groups.append(group)
+    return groups, edges
+
+
+def _forest(block: np.ndarray, cross: bool, near) -> list[tuple[int, int]]:
+    """Edges that connect the rows of a block pair as the links do, given (if ``cross``) that those within each block are connected.
+
+    Two blocks of one dense group need a single edge then, so edges do not grow with the square of a group's size.
+    """
+    if not cross:
+        return _components(np.arange(block.size), near)[1]
+    groups = [g for k in np.unique(block) for g in _components(np.flatnonzero(block == k), near)[0]]
+    label = np.empty(block.size, np.int64)
+    for k, g in enumerate(groups):
+        label[g] = k
+    left, edges = np.ones(len(groups), dtype=bool), []
+    while left.any():
+        queue = [int(np.flatnonzero(left)[0])]
+        left[queue[0]] = False
+        while queue:
+            for x in groups[queue.pop()]:
+                rest = np.flatnonzero(left[label] & (block != block[x]))
+                if not rest.size:
+                    break
+                got = near(x, rest)
+                reached, one = np.unique(label[got], return_index=True)
+                left[reached] = False
+                queue.extend(reached.tolist())
+                edges += [(x, int(y)) for y in got[one]]
+    return edges
+
+
 def _prune(table: dict[int, int]):
     """Forest of the pairs that survive pruning in each block pair: columns bucket, i, j, block, rep, sketch, sorted by the first three."""
 
@@ -162,22 +206,9 @@ def _prune(table: dict[int, int]):
                 continue
             sketch = _matrix(group["sketch"], np.uint32)
             cross = group["i"][0].as_py() != group["j"][0].as_py()
-            left = np.ones(rep.size, dtype=bool)
-            a, b = [], []
-            while left.any():
-                queue = [int(np.flatnonzero(left)[0])]
-                left[queue[0]] = False
-                while queue:
-                    x = queue.pop()
-                    rest = np.flatnonzero(left & (block != block[x]) if cross else left)
-                    if not rest.size:
-                        continue
-                    got = rest[_survivors(sketch[x], sketch[rest], table)]
-                    left[got] = False
-                    queue.extend(got.tolist())
-                    a.extend([rep[x]] * got.size)
-                    b.extend(rep[got].tolist())
-            if a:
+            edges = _forest(block, cross, lambda x, rest, sketch=sketch: rest[_survivors(sketch[x], sketch[rest], table)])
+            if edges:
+                a, b = rep[np.array(edges)].T
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -201,21 +232,6 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    left, found = np.ones(len(links), dtype=bool), []
-    while left.any():
-        queue = [int(np.flatnonzero(left)[0])]
-        left[queue[0]] = False
-        while queue:
-            x = queue.pop()
-            got = np.flatnonzero(links[x] & left)
-            left[got] = False
-            queue.extend(got.tolist())
-            found += [(x, int(y)) for y in got]
-    return found
-
-
 def _verify(threshold: float):
     """Exact links of each block pair: columns cluster, i, j, block, rep, copies, shingles, sorted by the first three."""
 
@@ -233,11 +249,10 @@ def _verify(threshold: float):
             both = size[:, None] + size[None, :]
             links = common * (1 + threshold) >= threshold * both - 1e-9
             np.fill_diagonal(links, False)
-            if group["i"][0].as_py() != group["j"][0].as_py():
-                links &= block[:, None] != block[None, :]
-            counts = links @ copies
+            cross = group["i"][0].as_py() != group["j"][0].as_py()
+            forest = _forest(block, cross, lambda x, rest, links=links: rest[links[x, rest]])
+            counts = (links & (block[:, None] != block[None, :]) if cross else links) @ copies
             got = np.flatnonzero(counts)
-            forest = _forest(links)
             a = np.concatenate([rep[got], rep[[x for x, _ in forest]]]) if got.size else rep[:0]
             b = np.concatenate([rep[got], rep[[y for _, y in forest]]]) if got.size else rep[:0]
             n = np.concatenate([counts[got], np.zeros(len(forest), np.int64)]) if got.size else counts[:0]
