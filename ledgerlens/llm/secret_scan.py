@@ -2,7 +2,8 @@
 
 A candidate is a run of key characters soon after a sensitive word.  Its novelty is the number of bytes that
 zstandard needs for it beyond what it needs for its surroundings, with the surrounding text and a list of common
-identifiers as dictionary, per character.  Names, prose and repeated strings compress well; random keys do not.
+identifiers as dictionary, per character.  Names and prose compress well; random keys do not.  Copies of the candidate
+or of parts of it are blanked out of the surroundings first, so a key that stands twice is as novel as one that stands once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SENSITIVE = ("password", "passwort", "passwd", "secret", "token", "api_key", "ap
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 64  # characters from the end of a sensitive word within which a candidate may begin
 AROUND = 512  # characters of surrounding text on each side that prime the compressor
+COPY = 8  # characters in a row that count as a copy of a part of a candidate
 NOVEL_MIN = 0.6  # marginal compressed bytes per character
 
 # Identifiers common in code and configuration.
@@ -46,12 +48,27 @@ IDENTIFIERS = (
 ).encode()
 
 
+def _without_copies(around: str, candidate: str) -> str:
+    """The surroundings with blanks for what they share with the candidate in runs of at least ``COPY`` characters."""
+    places: dict[str, list[int]] = {}
+    for i in range(len(around) - COPY + 1):
+        places.setdefault(around[i : i + COPY], []).append(i)
+    shared = {i for k in range(len(candidate) - COPY + 1) for i in places.pop(candidate[k : k + COPY], ())}
+    if not shared:
+        return around
+    kept = list(around)
+    for i in shared:
+        kept[i : i + COPY] = " " * COPY
+    return "".join(kept)
+
+
 def novelty(text: str, start: int, end: int, dictionary: bytes = IDENTIFIERS) -> float:
-    """Marginal compressed bytes per character of ``text[start:end]`` given its surroundings and the dictionary."""
-    around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
-    primed = zstandard.ZstdCompressionDict(dictionary + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Marginal compressed bytes per character of ``text[start:end]`` given its surroundings, less its copies, and the dictionary."""
+    left, right = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    left, right = _without_copies(left, text[start:end]), _without_copies(right, text[start:end])
+    primed = zstandard.ZstdCompressionDict(dictionary + b" " + (left + right).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
-    before = text[max(0, start - 32) : start].encode()
+    before = left[-32:].encode()
     return (len(pack.compress(before + text[start:end].encode())) - len(pack.compress(before))) / (end - start)
 
 

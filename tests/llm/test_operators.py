@@ -313,6 +313,19 @@ def test_secrets(spark, rows, awkward, nothing):
     assert secret_scan.scan_secrets(awkward).count() == len(AWKWARD) and secret_scan.scan_secrets(nothing).count() == 0
 
 
+def novel(text):
+    low = secret_scan.lowered(text)
+    return [text[a:b] for a, _, b in secret_scan.novel_spans(text, low, secret_scan.base_spans(text, low))]
+
+
+def test_secrets_that_stand_twice():
+    key = "Zk8rQ2vX9pLw4TyB7nHs3GdMc6Jf1Ea5"
+    assert novel(f"Authorization Bearer {key}") == [key]
+    assert novel(f"Authorization Bearer {key}\nAuthorization Bearer {key}\n") == [key] * 2
+    assert novel(f"the client credential is x-{key}-y, then bearer {key}") == [f"x-{key}-y", key]
+    assert novel("the client credential is connectionconfiguration, or bearer connectionconfiguration") == []
+
+
 # --- quality
 
 
