@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
-A candidate is a run of key characters soon after a sensitive word.  Its novelty is the number of bytes that
-zstandard needs for it beyond what it needs for its surroundings, with the surrounding text and a list of common
+A candidate is a run of key characters near a sensitive word, in a private key's PEM block or next to another one that is
+reported.  Its novelty is the number of bytes that zstandard needs for it beyond what it needs for its surroundings, with the surrounding text and a list of common
 identifiers as dictionary, per character.  Names and prose compress well; random keys do not.  Copies of the candidate
 or of parts of it are blanked out of the surroundings first, so a key that stands twice is as novel as one that stands once.
 """
@@ -9,6 +9,8 @@ or of parts of it are blanked out of the surroundings first, so a key that stand
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,12 @@ ASSIGN_MIN, ACCESS_MIN = 12, 18
 
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")  # how an assignment may begin, lower case
 SENSITIVE = ("password", "passwort", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "bearer", "authorization", "client_id", "signature", "begin rsa", "begin private")
+CANDIDATE_MIN = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH = 64  # characters from the end of a sensitive word within which a candidate may begin
-AROUND = 512  # characters of surrounding text on each side that prime the compressor
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+PEM_LAST = re.compile(r"(?:(?<=\\)n|[\s\"'])([A-Za-z0-9+/=]+)(?:\s|\\[rn]|[\"'+,])*\Z")  # before an END line; line breaks may be escaped
+REACH = 64  # characters between a reported candidate and the next one that is in its context
+AROUND = 512  # characters of text on each side of a sensitive word that are its context, and of a candidate that prime the compressor
 COPY = 8  # characters in a row that count as a copy of a part of a candidate
 NOVEL_MIN = 0.6  # marginal compressed bytes per character
 
@@ -103,25 +108,85 @@ def base_spans(text: str, low: str, hexes: bool = True) -> list[tuple[int, int,
     return sorted(found)
 
 
-def _touches(base: list[tuple[int, int, int]], a: int, b: int) -> bool:
-    return any(a < y and x < b for x, _, y in base)
+class _Base:
+    """Pattern matches, asked whether a range touches any of them."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts = [a for a, _, _ in base]
+        self.ends = list(accumulate((b for _, _, b in base), max))
+
+    def touches(self, a: int, b: int) -> bool:
+        n = bisect_left(self.starts, b)
+        return n > 0 and self.ends[n - 1] > a
+
+
+def _key_blocks(text: str) -> list[tuple[int, int, int]]:
+    """Private keys in PEM armour that have an END line: start of the block, start of its END line, start of its last run of key characters."""
+    found, end = [], -1
+    for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
+        if end < m.end():
+            end = text.find("-----END", m.end())
+        if end < 0:
+            break
+        if text.find("-----BEGIN", m.end(), end) < 0:
+            last = PEM_LAST.search(text, max(m.end(), end - AROUND), end)
+            found.append((m.start(), end, last.start(1) if last else end))
+    return found
 
 
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], dictionary: bytes = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Incompressible candidates in a sensitive context that touch no pattern match.
 
-    A candidate is judged once, however many sensitive words stand before it.
+    In context is what lies at most ``AROUND`` characters before or after a sensitive word, all of a private key's PEM block,
+    and, in both directions, the next candidate at most ``REACH`` characters from one that is reported.  The last line of a PEM block counts
+    however short it is.  A candidate that holds sensitive words itself is also judged without them.
     """
-    found, judged = [], -1
-    for _, end in _places(low, SENSITIVE):
-        for m in CANDIDATE.finditer(text, max(end, judged)):
-            a, b = m.span()
-            if a > end + REACH:
-                break
-            judged = b
-            if not _touches(base, a, b) and novelty(text, a, b, dictionary) >= NOVEL_MIN:
-                found.append((a, 3, b))
-    return found
+    words, blocks = _places(low, SENSITIVE), _key_blocks(text)
+    if not words and not blocks:
+        return []
+    matched, found = _Base(base), []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    starts, ends = [s for s, _ in words], sorted(e for _, e in words)
+
+    def novel(a: int, b: int) -> bool:
+        return not matched.touches(a, b) and novelty(text, a, b, dictionary) >= NOVEL_MIN
+
+    def reported(i: int, chained: bool) -> bool:
+        a, b = runs[i]
+        near = bisect_right(starts, b + AROUND) - bisect_left(ends, a - AROUND)  # words that overlap the surroundings
+        inner = words[bisect_left(starts, a) : bisect_left(starts, b)]
+        block = bisect_right(blocks, (a, len(text), 0)) - 1
+        outside = chained or near > len(inner) or block >= 0 and a < blocks[block][1]
+        if outside and novel(a, b):
+            found.append((a, 3, b))
+            return True
+        if not inner:
+            return False
+        # A run with sensitive words in it: what follows the first one, else the whole run, else what stands after each of them.
+        rest = inner[0][1]
+        if b - rest >= CANDIDATE_MIN and novel(rest, b):
+            got = [(rest, b)]
+        elif not outside and novel(a, b):
+            got = [(a, b)]
+        else:
+            after = zip((e for _, e in inner), [*(s for s, _ in inner[1:]), b], strict=True)
+            got = [(x, y) for x, y in after if y - x >= CANDIDATE_MIN and novel(x, y)]
+        found.extend((x, 3, y) for x, y in got)
+        return bool(got)
+
+    said = [reported(i, False) for i in range(len(runs))]
+    for order in (range(len(runs)), range(len(runs) - 1, -1, -1)):
+        before = None
+        for i in order:
+            if not said[i] and before is not None and said[before]:
+                (_, b), (a, _) = sorted((runs[before], runs[i]))
+                said[i] = a - b <= REACH and reported(i, True)
+            before = i
+    for _, end, last in blocks:
+        tail = PEM_LAST.match(text, last - 1, end) if last < end else None
+        if tail and len(tail[1]) < CANDIDATE_MIN and novel(*tail.span(1)):
+            found.append((tail.start(1), 3, tail.end(1)))
+    return sorted(set(found))
 
 
 def _hex_texts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
