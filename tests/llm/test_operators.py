@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from brute import contamination as brute_contamination
 from brute import jaccard as brute_jaccard
@@ -197,6 +198,35 @@ def test_mixing_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def some_tokens(n, size, letters="abcdefghijklmnopqrstuvwxyz"):
+    rng = random.Random(n)
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, size))).encode() for _ in range(n)})
+    return words, np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+
+
+def test_mixing_keeps_contexts_apart():
+    """As many slots as decisions after different beginnings of tokens, however many there are."""
+    words, data, off = some_tokens(30000, 12)
+    bits = mixing.Bits(data, off, np.zeros(len(words), np.uint8))
+    nodes = {(w[:i], b, (w + b" ")[i] >> (8 - b)) for w in words for i in range(len(w) + 1) for b in range(8)}
+    assert sum(np.unique(bits.bit(b)[0][4]).size for b in range(8)) == len(nodes)
+
+
+def test_mixing_counts_do_not_depend_on_shards():
+    words, _, _ = some_tokens(3000, 6, "abc")
+    table = pa.table({"kind": pa.array([i % 4 for i in range(len(words))], pa.int32()), "token": words, "n": [i % 7 for i in range(len(words))]})
+    nothing = pa.table({"key": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
+    whole, codes, _ = mixing._shard(table, nothing)
+    want = dict(zip(whole.keys.tolist(), codes.reshape(-1, 8).tolist(), strict=True))
+    cuts = [0, 1, 2, 40, 41, 200, 333, len(words)]
+    parts = [table.slice(a, b - a).append_column("part", pa.array([i] * (b - a), pa.int32())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    held = pa.concat_tables([mixing._held(p) for p in parts]).sort_by("key")
+    summed = pa.Table.from_batches(mixing._sum_held(held.to_batches(max_chunksize=50)))
+    for i, p in enumerate(parts):
+        bits, codes, _ = mixing._shard(p, summed.filter(pa.compute.equal(summed["part"], i)))
+        assert {k: want[k] for k in bits.keys.tolist()} == dict(zip(bits.keys.tolist(), codes.reshape(-1, 8).tolist(), strict=True))
+
+
 def test_mixing_edges(spark, awkward, nothing):
     got = mixing.score_texts(awkward, fold("doc_id", 10) != 0).collect()
     assert len(got) == len(AWKWARD) and all(r.score < 0 for r in got)
