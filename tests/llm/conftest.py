@@ -2,22 +2,10 @@ import os
 import sys
 
 import pytest
+from samples import AWKWARD
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-AWKWARD = [
-    (0, "The first text, with some words in it that repeat. The first text."),
-    (1, ""),
-    (2, None),
-    (3, "The first text, with some words in it that repeat. The first text."),
-    (3, "The first text, with some words in it that repeat. The first text."),
-    (None, "an id that is null"),
-    (4, "   \n\t "),
-    (5, "x" * 30000),
-    (6, "Ünïcode 日本語。 \u2581 \x00 token = 'abcdef0123456789' " * 400),
-    (7, "w " * 20000),
-]
-
 
 @pytest.fixture(scope="session")
 def awkward(spark):

@@ -16,10 +16,10 @@ from brute import contamination as brute_contamination
 from brute import jaccard as brute_jaccard
 from brute import repeats as brute_repeats
 from brute import words
-from conftest import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from samples import AWKWARD
 
 from ledgerlens.llm import decontaminate, exact_dedup, jaccard, licenses, mixing, pieces, quality, repeats, secret_scan, textbytes, url_filter
 from ledgerlens.llm.components import components
