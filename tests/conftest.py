@@ -7,9 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,12 +15,3 @@ def spark():
     s = local_session("*", shuffle_partitions=8, max_failures=4)
     yield s
     s.stop()
-
-
-def explain(df) -> str:
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-
-
-def nodes(plan: str, name: str) -> int:
-    """Operators of a formatted plan (its numbered detail lines)."""
-    return sum(1 for line in plan.splitlines() if line.startswith("(") and line.split(") ", 1)[-1].startswith(name))

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import SF001, SF01
+from support import SF001, SF01
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import infer_type

@@ -1,14 +1,13 @@
 """The correctness gate: every registered query against its DuckDB SQL at sf0.01."""
 
 import pytest
-from conftest import SF01
+from support import SF01
 
 import __spark_entry__ as E
+from ledgerlens.plans.oracle import ORACLE as SQL
+from ledgerlens.plans.registry import QUERIES
 from oracle_check import compare, duck
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -25,6 +24,7 @@ def test_matches_duckdb(spark, con, name):
 
 def test_every_query_has_oracle_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import SF01, explain, nodes
+from support import SF01, explain, nodes
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import infer_type

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import SF001
+from support import SF001
 
 from ledgerlens.plans import dashboard, rag
 from ledgerlens.session import scratch_path
@@ -72,7 +72,7 @@ def test_no_pending_questions(spark):
 
 
 def test_ingest_small_ledger_large_cache(spark):
-    from conftest import SF01, explain
+    from support import SF01, explain
 
     from ledgerlens.operators.embed import HashingEmbedder, cached_vectors, model_id, read_cache
     from ledgerlens.schema import TASK_DOCUMENT

@@ -4,7 +4,7 @@ import datetime as dt
 import glob
 
 import pytest
-from conftest import SF01, explain, nodes
+from support import SF01, explain, nodes
 from pyspark.sql import functions as F
 
 from ledgerlens.schema import LEDGER, SYNC_COMMIT
@@ -98,7 +98,7 @@ def test_csv_folder_round_trip(spark):
 
 
 def test_month_partitioned_ledger_prunes(spark):
-    from conftest import explain
+    from support import explain
 
     from ledgerlens.operators import metrics as M
 
