@@ -27,4 +27,12 @@ pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range
 its as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, cast(item_id as varchar) x from hits) group by doc_id)
 select dw.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from dw left join pos on dw.doc_id = pos.doc_id left join its on dw.doc_id = its.doc_id""",
+    "op11_line_dedup": r"""
+with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select r, doc_id, unnest(ls) line, unnest(range(1, len(ls) + 1)) pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+s as (select key, max(doc_id) last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+j as (select k.*, s.last is not null and doc_id <> s.last lost from k left join s on k.key = s.key)
+select doc_id, count(*)::bigint n_lines, count(*) filter (lost)::bigint n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) kept_sha256
+from j group by r, doc_id""",
 }

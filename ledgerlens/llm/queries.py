@@ -128,3 +128,12 @@ def op5(spark, d):
 
     scored = score_texts(table(spark, d, "documents"), fold("doc_id", 10) != 0)
     return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@register("op11_line_dedup")
+def op11(spark, d):
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, d, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -81,3 +81,20 @@ def contamination(texts, items, size=10):
                     got |= windows[tuple(w[k : k + n])]
         out.append((len(w), len(hit), sorted(str(x) for x in got if x is not None)))
     return out
+
+
+def line_dedup(rows, min_chars=20, min_docs=3):
+    """[(id, lines, dropped lines, kept text)] of (id, text) rows."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders[key(line)].add(i)
+    rank = lambda i: (i is not None, i or 0)
+    last = {k: max(h, key=rank) for k, h in holders.items() if len(k) >= min_chars and len(h) >= min_docs}
+    out = []
+    for i, t in rows:
+        ls = (t or "").split("\n")
+        kept = [line for line in ls if key(line) not in last or last[key(line)] == i]
+        out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
+    return out

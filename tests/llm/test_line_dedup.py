@@ -1,0 +1,58 @@
+"""Line dedup against a plain version, on awkward tables and with every way of finding shared lines."""
+
+import random
+
+import pytest
+from brute import line_dedup as plain
+from pyspark.sql import functions as F
+from samples import AWKWARD
+
+from ledgerlens.llm.line_dedup import dedup_lines, line_key, without
+
+SHARED = "This line stands in many documents."
+
+
+def sample():
+    rng = random.Random(5)
+    pool = [f"{'  ' * rng.randrange(2)}shared line number {k} of the pool{chr(9) * rng.randrange(2)}" for k in range(12)] + ["short", "", "É" * 20, "é" * 20, SHARED.upper() + "\r"]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own line {i} {j} {rng.random()}" for j in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [(100 + i, SHARED) for i in range(40)]  # a hot line; all but the last lose their whole text
+    rows += [(7, rows[7][1]), (7, "other text of a repeated id\n" + SHARED), (None, SHARED + "\n" + SHARED), (None, "a null id\n" + SHARED), (200, None), (201, ""), (202, "\n\n")]
+    rows += [(300, "\n".join([SHARED, "x"] * 5000)), (301, "y" * 50000 + "\n" + SHARED + "\n" + "z" * 50000)]
+    return rows
+
+
+@pytest.mark.parametrize("heavy", [0, 1, 4096])
+def test_equals_plain_version(spark, heavy):
+    rows = sample()
+    docs = spark.createDataFrame([(i, t, 1, 2, "k", "l") for i, t in rows], "doc_id bigint, text string, n_lines int, r1 int, id string, lost string")
+    got = dedup_lines(docs.repartition(5), heavy=heavy)
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_text"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, plain(rows)))
+
+
+def test_thresholds(spark):
+    rows = [(i, "nineteen code point\ntwenty code points..") for i in range(3)] + [(3, "held by two documents"), (4, "held by two documents")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.n_dropped, r.kept_text) for r in dedup_lines(docs).collect()}
+    assert got == {0: (1, "nineteen code point"), 1: (1, "nineteen code point"), 2: (0, rows[2][1]), 3: (0, rows[3][1]), 4: (0, rows[4][1])}
+    assert dedup_lines(docs, min_docs=2).where("n_dropped > 0").count() == 3
+    assert dedup_lines(docs, min_chars=1).agg(F.sum("n_dropped")).first()[0] == 4
+
+
+def test_awkward_and_empty(awkward, nothing):
+    got = dedup_lines(awkward).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain(AWKWARD)))
+    assert dedup_lines(nothing).count() == 0
+
+
+def test_parts(spark):
+    cases = [(size, [k for k in range(size) if mask >> k & 1]) for size in range(1, 6) for mask in range(1 << size)]
+    df = spark.createDataFrame(cases, "size int, at array<int>")
+    parts = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: k.cast("string"))
+    for r in df.select("size", "at", without(parts, F.col("at")).alias("x")).collect():
+        assert r.x == [str(k) for k in range(r.size) if k not in r.at]
+
+
+def test_key(spark):
+    assert spark.range(1).select(line_key(F.lit(" \x0b\x0c\r\tA\u00c9 b\u00a0 \t")).alias("k")).first().k == "a\u00c9 b\u00a0"
