@@ -36,3 +36,25 @@ j as (select k.*, s.last is not null and doc_id <> s.last lost from k left join
 select doc_id, count(*)::bigint n_lines, count(*) filter (lost)::bigint n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) kept_sha256
 from j group by r, doc_id""",
 }
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as (select r, min(struct_pack(d := list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, k := k)) m from v cross join c{i} group by r)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} as (select k, pos, sum(x)::bigint s, count(*) n from (select m.k k, unnest(e) x, unnest(range(1, 65)) pos from a{i} join v on a{i}.r = v.r) group by k, pos),
+u{i} as (select k, list((s - ((s % n) + n) % n) // n order by pos) c from s{i} group by k),
+c{i + 1} as (select c{i}.k, coalesce(u{i}.c, c{i}.c) c from c{i} left join u{i} on c{i}.k = u{i}.k)""")
+    return f"""
+with v as (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id::varchar)) - 1)::int k, e c from v qualify k < 16),{",".join(steps)}
+select vec_id, m.k as "cluster", m.d distance, (sum(m.d) over (partition by m.k))::bigint cluster_inertia, (sum(m.d) over ())::bigint inertia,
+  sha256(array_to_string(c, ',')) centroid_sha256
+from a{rounds} join v on a{rounds}.r = v.r join c{rounds} on m.k = c{rounds}.k"""
+
+
+ORACLE["op12_centroids"] = _centroid_sql()

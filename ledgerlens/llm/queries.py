@@ -137,3 +137,10 @@ def op11(spark, d):
     from .line_dedup import dedup_lines
 
     return dedup_lines(table(spark, d, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op12_centroids")
+def op12(spark, d):
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, d, "embeddings")).drop("n_checked")

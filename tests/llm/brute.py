@@ -1,5 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -98,3 +100,53 @@ def line_dedup(rows, min_chars=20, min_docs=3):
         kept = [line for line in ls if key(line) not in last or last[key(line)] == i]
         out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
     return out
+
+
+def centroids(rows, clusters=16, dim=64, rounds=3, scale=64, limit=1 << 27):
+    """[(id, cluster, distance, cluster inertia, inertia, digest)] of (id, vector) rows."""
+    kept = [(i, [max(-limit, min(limit, math.floor(scale * x))) for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    digest = lambda i: hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    centres = [v for _, v in sorted(kept, key=lambda r: (digest(r[0]), r[1]))[:clusters]]
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for k in range(rounds + 1):
+        best = [min((apart(v, c), j) for j, c in enumerate(centres)) for _, v in kept]
+        for j in range(len(centres) if k < rounds else 0):
+            own = [v for (_, v), (_, b) in zip(kept, best, strict=True) if b == j]
+            if own:
+                centres[j] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    inertia = Counter()
+    for d, j in best if kept else []:
+        inertia[j] += d
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    cap = (1 << 63) - 1
+    return [(i, j, d, min(cap, inertia[j]), min(cap, sum(inertia.values())), names[j]) for (i, _), (d, j) in zip(kept, best if kept else [], strict=True)]
+
+
+def divergence(rows, min_docs=10, top=10):
+    """[(lang, source, part, item, value, rank)] of (text, lang, source) rows."""
+    term = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+    held, counts = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        got = Counter(term.findall((text or "").translate(LOW)))
+        counts[lang, source].update(got)
+        held[lang].update(got.keys())
+    out = []
+    for lang in held.keys() | {x for x, _ in counts}:
+        kept = [t for t, n in held[lang].items() if n >= min_docs]
+        groups = {s: c for (x, s), c in counts.items() if x == lang}
+
+        def rates(count, kept=kept):
+            total = sum(count[t] for t in kept)
+            return {t: 1 + 10**9 * (count[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        p = {s: rates(c) for s, c in groups.items()}
+        q = rates(sum(groups.values(), Counter()))
+        for s in groups:
+            pairs = [(sum(f(p[s][t], p[o][t]) for t in kept), o) for o in groups if o != s]
+            terms = [(f(p[s][t], q[t]), t) for t in kept if groups[s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found = sorted(found, key=lambda x: (-x[0], x[1]))[: top if part == "term" else None]
+                out += [(lang, s, part, item, v, k) for k, (v, item) in enumerate(found, 1)]
+    return out
