@@ -35,6 +35,20 @@ s as (select key, max(doc_id) last from k where length(key) >= 20 group by key h
 j as (select k.*, s.last is not null and doc_id <> s.last lost from k left join s on k.key = s.key)
 select doc_id, count(*)::bigint n_lines, count(*) filter (lost)::bigint n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) kept_sha256
 from j group by r, doc_id""",
+    "op13_source_divergence": r"""
+with d as (select row_number() over () r, coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+t as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+k as (select lang, term, count(*) total from t group by lang, term having count(distinct r) >= 10),
+l as (select lang, count(*) v, sum(total) n from k group by lang),
+c as (select t.lang, source, t.term, count(*) n from t join k on t.lang = k.lang and t.term = k.term group by t.lang, source, t.term),
+g as (select d.lang, d.source, coalesce(any_value(s.n), 0) n from d left join (select lang, source, sum(n) n from c group by lang, source) s on d.lang = s.lang and d.source = s.source group by d.lang, d.source),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) c, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.n + 2 * l.v) p, 1 + (1000000000::hugeint * (k.total + 2)) // (l.n + 2 * l.v) q
+  from g join k on g.lang = k.lang join l on g.lang = l.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+s as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) x from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+u as (select g.lang, g.source, 'pair' part, h.source item, coalesce(x, 0)::bigint "value" from g join g h on g.lang = h.lang and g.source <> h.source left join s on s.lang = g.lang and s.source = g.source and s.item = h.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where c > 0 and p > q),
+w as (select *, (row_number() over (partition by lang, source, part order by "value" desc, item))::int "rank" from u)
+select lang, source, part, item, "value", "rank" from w where part = 'pair' or "rank" <= 10""",
 }
 
 

@@ -144,3 +144,10 @@ def op12(spark, d):
     from .centroids import cluster_vectors
 
     return cluster_vectors(table(spark, d, "embeddings")).drop("n_checked")
+
+
+@register("op13_source_divergence")
+def op13(spark, d):
+    from .divergence import audit_sources
+
+    return audit_sources(table(spark, d, "documents"))
