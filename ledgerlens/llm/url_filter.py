@@ -133,7 +133,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: st
     """Judge every url by the longest rule that fits it: ``id_col, host, path, rule, verdict``.
 
     ``rules``: ``host, path, verdict`` (``allow`` or ``block``).  A rule fits its host and all subdomains if the
-    path starts with the rule's.  A url that no rule fits is on neither list and gets ``default``.
+    path starts with the rule's; of fitting rules of one length the greater by text order counts.  A rule that is listed several
+    times blocks if any of its rows does; a verdict other than ``block``, or none, allows.  A url that no rule fits gets ``default``.
     One row per input row, repeated rows included; other columns of ``pages`` are not read.
     Null urls have empty host and path and get ``default``; an empty rule list gives ``default`` everywhere.
     """
@@ -145,11 +146,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: st
     keyed = urls.withColumn("keys", url_keys(F.col("host"), F.col("path"), shapes))
     key = F.concat("host", "path").alias("key")
     universe = keyed.select(F.explode("keys").alias("key"))
-    listed = build_cascade(rules.select(key), universe, max_filter_bytes)
+    # One verdict for each key, before the way of looking it up is chosen.
+    block = F.coalesce(F.max(F.col("verdict") == "block"), F.lit(False))
+    rules = rules.groupBy(key).agg(F.when(block, "block").otherwise("allow").alias("verdict"))
+    listed = build_cascade(rules.select("key"), universe, max_filter_bytes)
     # The second cascade tells block from allow among listed keys, so these are its universe.
-    blocked = listed and build_cascade(rules.where("verdict = 'block'").select(key), rules.select(key), max_filter_bytes)
+    blocked = listed and build_cascade(rules.where("verdict = 'block'").select("key"), rules.select("key"), max_filter_bytes)
     if listed is None or blocked is None:
-        return _joined(keyed, rules.select(key, "verdict"), id_col, default)
+        return _joined(keyed, rules, id_col, default)
     each = [F.get("keys", F.lit(i)) for i in range(len(shapes))]  # longest first; subqueries may not stand in higher-order functions
     rule = F.coalesce(*[F.when(listed.holds(k), k) for k in each], F.lit(None).cast("string"))
     judged = keyed.withColumn("rule", rule)
@@ -159,8 +163,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: st
 
 def _joined(keyed: DataFrame, rules: DataFrame, id_col: str, default: str) -> DataFrame:
     """The same answer for lists beyond the filter bound: distinct hosts and paths meet the rules in shuffle joins."""
-    known = rules.groupBy("key").agg(F.min("verdict").alias("v"))
     each = keyed.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key"))
-    best = each.join(known, "key").groupBy("host", "path").agg(F.max_by(F.struct("key", "v"), F.length("key")).alias("b"))
+    best = each.join(rules, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("b"))
     out = keyed.join(best, ["host", "path"], "left")
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict"))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

@@ -80,6 +80,17 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("1 = 0"), rules).count() == 0
 
 
+def test_both_ways_of_looking_up_rules_agree(spark):
+    hosts = ["a.com", "x.a.com", "b.com", "c.com", "d.com", "b.d.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p/q") for i, h in enumerate(hosts)], "page_id int, url string")
+    rules = [("a.com", "/", "allow"), ("a.com", "/", "block"), ("b.com", "/", None), ("c.com", "/", "deny"), ("c.com", "/", "deny")]
+    rules += [("d.com", "/p/", "block"), ("b.d.com", "/", "allow"), (None, "/", "block"), ("c.com", None, "block"), ("", "/", "block")]
+    rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    ways = [sorted(map(tuple, url_filter.filter_urls(pages, rules, max_filter_bytes=b).select("page_id", "rule", "verdict").collect())) for b in (1 << 20, 0)]
+    want = [("a.com/", "block"), ("a.com/", "block"), ("b.com/", "allow"), ("c.com/", "allow"), ("d.com/p/", "block"), ("d.com/p/", "block")]
+    assert ways[0] == ways[1] == [(i, *w) for i, w in enumerate(want)]
+
+
 # --- exact dedup
 
 
