@@ -5,6 +5,11 @@ per task, one small shuffle of partial states).  Money is summed as exact
 cents (integer count, decimal total) so the result does not depend on
 partitioning (amounts that are not whole cents, or are beyond the cent range,
 are added as doubles), and reported as double.  Sums over no rows are 0, not null.
+
+Measures that only need sums and counts by month, category and type also take
+the ledger's rollup (``build_rollup``) in its place: a table of such sums that
+is written once beside a ledger version, so that a dashboard does not scan
+the ledger again for each measure.  The results are the same.
 """
 
 from __future__ import annotations
@@ -55,6 +60,50 @@ def money_sum(cond: Column | None = None) -> Column:
     return F.struct(F.sum(whole).alias("cents"), F.sum(rest).alias("rest"))
 
 
+# --- rollup ------------------------------------------------------------------
+
+MONTH, LAST, CENTS_SUM, REST_SUM, ROWS = "month", "last_date", "cents", "rest", "n"
+
+
+def build_rollup(ledger: DataFrame) -> DataFrame:
+    """One row per (month, category, type) of the ledger: both parts of the amount sum, the row count and the latest date.
+
+    Rows without a date have a null month, rows without a category or type a null one; every ledger row is in exactly one group.
+    """
+    return (
+        ledger.groupBy(month_start(F.col(DATE)).alias(MONTH), CATEGORY, TYPE)
+        .agg(money_sum().alias("_amt"), F.count(F.lit(1)).alias(ROWS), F.max(F.col(DATE)).alias(LAST))
+        .select(MONTH, CATEGORY, TYPE, F.col("_amt.cents").alias(CENTS_SUM), F.col("_amt.rest").alias(REST_SUM), ROWS, LAST)
+    )
+
+
+def merge_rollups(rollups: DataFrame) -> DataFrame:
+    """The rollup of several ledgers' rows taken together, from the union of their rollups."""
+    parts = [F.sum(c).alias(c) for c in (CENTS_SUM, REST_SUM, ROWS)]
+    out = rollups.groupBy(MONTH, CATEGORY, TYPE).agg(*parts, F.max(LAST).alias(LAST))
+    return out.select(MONTH, CATEGORY, TYPE, F.col(CENTS_SUM).cast(T.DecimalType(28, 0)).alias(CENTS_SUM), REST_SUM, ROWS, LAST)
+
+
+def is_rollup(df: DataFrame) -> bool:
+    return AMOUNT not in df.columns and {CENTS_SUM, REST_SUM, ROWS} <= set(df.columns)
+
+
+def _money(df: DataFrame, cond: Column | None = None) -> Column:
+    """Two-part amount sum over ledger rows, or over the groups of a rollup."""
+    if not is_rollup(df):
+        return money_sum(cond)
+    cents, rest = (F.col(c) if cond is None else F.when(cond, F.col(c)) for c in (CENTS_SUM, REST_SUM))
+    return F.struct(F.sum(cents).alias("cents"), F.sum(rest).alias("rest"))
+
+
+def _row_count(df: DataFrame) -> Column:
+    return F.coalesce(F.sum(F.col(ROWS)), F.lit(0).cast("bigint")) if is_rollup(df) else F.count(F.lit(1))
+
+
+def _month_of(df: DataFrame) -> Column:
+    return F.col(MONTH) if is_rollup(df) else month_start(F.col(DATE))
+
+
 def to_money(m: Column) -> Column:
     """A two-part sum as currency units in double (0 for no rows)."""
     whole = (F.coalesce(m["cents"], _zero()) * F.lit(ONE_CENT)).cast("double")
@@ -101,9 +150,9 @@ def _small_sorted(df: DataFrame, *cols: str) -> DataFrame:
 def kpi_totals(ledger: DataFrame) -> DataFrame:
     """One row: income, expense, balance = income - expense, txn_count."""
     agg = ledger.agg(
-        money_sum(F.col(TYPE) == INCOME).alias("_inc"),
-        money_sum(F.col(TYPE) == EXPENSE).alias("_exp"),
-        F.count(F.lit(1)).alias("txn_count"),
+        _money(ledger, F.col(TYPE) == INCOME).alias("_inc"),
+        _money(ledger, F.col(TYPE) == EXPENSE).alias("_exp"),
+        _row_count(ledger).alias("txn_count"),
     )
     inc, exp = F.col("_inc"), F.col("_exp")
     return agg.select(
@@ -115,7 +164,7 @@ def kpi_totals(ledger: DataFrame) -> DataFrame:
 
 
 def txn_count(ledger: DataFrame) -> DataFrame:
-    return ledger.agg(F.count(F.lit(1)).alias("txn_count"))
+    return ledger.agg(_row_count(ledger).alias("txn_count"))
 
 
 def expense_rows(ledger: DataFrame) -> DataFrame:
@@ -132,11 +181,10 @@ def monthly_net(ledger: DataFrame) -> DataFrame:
     and are left out.  ``month_key`` (``yyyy-MM``) is the key; ``label`` is the
     short month name, which repeats across years.
     """
-    m = month_start(F.col(DATE))
     agg = (
-        ledger.where(F.col(DATE).isNotNull())
-        .groupBy(m.alias("month"))
-        .agg(money_sum(F.col(TYPE) == INCOME).alias("_inc"), money_sum(F.col(TYPE) == EXPENSE).alias("_exp"))
+        ledger.where(F.col(MONTH if is_rollup(ledger) else DATE).isNotNull())
+        .groupBy(_month_of(ledger).alias("month"))
+        .agg(_money(ledger, F.col(TYPE) == INCOME).alias("_inc"), _money(ledger, F.col(TYPE) == EXPENSE).alias("_exp"))
     )
     inc, exp = F.col("_inc"), F.col("_exp")
     return agg.select(
@@ -151,7 +199,8 @@ def monthly_net(ledger: DataFrame) -> DataFrame:
 
 def distinct_months(ledger: DataFrame) -> DataFrame:
     """Months present in the ledger as ``yyyy-MM`` text and parsed back to the month start, ascending."""
-    keys = ledger.where(F.col(DATE).isNotNull()).select(month_key(F.col(DATE)).alias("month_key")).distinct()
+    date = F.col(MONTH if is_rollup(ledger) else DATE)
+    keys = ledger.where(date.isNotNull()).select(month_key(date).alias("month_key")).distinct()
     back = F.to_timestamp_ntz(F.col("month_key"), F.lit("yyyy-MM"))
     return keys.select("month_key", back.alias("month")).transform(_small_sorted, "month_key")
 
@@ -164,7 +213,7 @@ def _by_category(ledger: DataFrame) -> DataFrame:
     return (
         ledger.where(F.col(CATEGORY).isNotNull())
         .groupBy(CATEGORY)
-        .agg(money_sum().alias("_amt"), F.count(F.lit(1)).alias("txn_count"))
+        .agg(_money(ledger).alias("_amt"), _row_count(ledger).alias("txn_count"))
     )
 
 
@@ -194,7 +243,7 @@ def top_expense_category(ledger: DataFrame) -> DataFrame:
 def default_month(ledger: DataFrame, as_of=None) -> DataFrame:
     """Latest date in the ledger (``as_of`` when empty) and the month it selects."""
     fallback = F.current_timestamp().cast(T.TimestampNTZType()) if as_of is None else _ntz(as_of)
-    d = F.coalesce(F.max(F.col(DATE)), fallback)
+    d = F.coalesce(F.max(F.col(LAST if is_rollup(ledger) else DATE)), fallback)
     one = ledger.agg(d.alias("default_date"))
     dd = F.col("default_date")
     return one.select(
@@ -212,6 +261,8 @@ def month_slice(ledger: DataFrame, month) -> DataFrame:
     pushed filters and row-group statistics.
     """
     start, end = month_bounds(month)
+    if is_rollup(ledger):
+        return ledger.where(F.col(MONTH) == _ntz(start))
     rows = ledger.where((F.col(DATE) >= _ntz(start)) & (F.col(DATE) < _ntz(end)))
     if "month_key" in ledger.columns:  # a month-partitioned ledger: prune folders too
         rows = rows.where(F.col("month_key") == F.lit(start.strftime("%Y-%m")))

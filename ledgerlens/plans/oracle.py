@@ -335,3 +335,16 @@ SELECT q.conv_id, q.turn, q.question, ctx.context,
 FROM questions q JOIN ctx ON ctx.query_id = q.query_id""",
     }
 )
+
+ORACLE.update(
+    {
+        "ledger_rollup": f"""WITH {LEDGER}
+SELECT date_trunc('month', "Date") AS month, "Category", "Type", {money(f'SUM({CENTS})')} AS amount,
+       count(*) AS txn_count, max("Date") AS last_date
+FROM ledger GROUP BY 1, 2, 3""",
+        "rollup_kpi_totals": ORACLE["kpi_totals"],
+        "rollup_monthly_net": ORACLE["monthly_net"],
+        "rollup_month_distribution": ORACLE["month_distribution"],
+        "rollup_top_categories": ORACLE["top_categories"],
+    }
+)

@@ -294,6 +294,45 @@ def q_replace_ledger(spark, d):
     return read_current_ledger(spark, root)
 
 
+# --- measures from the rollup beside a ledger version --------------------------
+
+
+def _rollup(spark, d) -> DataFrame:
+    from ..session import scratch_path
+    from ..sources.collection import read_current_rollup, replace_ledger
+
+    root = scratch_path(spark, "ledger")
+    replace_ledger(A.ledger(spark, d), root)
+    return read_current_rollup(spark, root)
+
+
+@register("ledger_rollup")
+def q_ledger_rollup(spark, d):
+    amount = M.to_money(F.struct("cents", "rest")).alias("amount")
+    return _rollup(spark, d).select("month", CATEGORY, TYPE, amount, F.col("n").alias("txn_count"), "last_date")
+
+
+@register("rollup_kpi_totals")
+def q_rollup_kpi_totals(spark, d):
+    return M.kpi_totals(_rollup(spark, d))
+
+
+@register("rollup_monthly_net")
+def q_rollup_monthly_net(spark, d):
+    return M.monthly_net(_rollup(spark, d))
+
+
+@register("rollup_month_distribution")
+def q_rollup_month_distribution(spark, d):
+    rollup = _rollup(spark, d)
+    return M.month_distribution(rollup, dashboard.resolve_default_month(rollup, AS_OF))
+
+
+@register("rollup_top_categories")
+def q_rollup_top_categories(spark, d):
+    return M.top_categories(_rollup(spark, d))
+
+
 # --- conversations, retrieval, prompts ---------------------------------------
 
 

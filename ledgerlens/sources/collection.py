@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import to_timestamp_ntz
+from ..operators.metrics import build_rollup
 from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC
 from .csv import require_columns
 
@@ -105,7 +106,7 @@ def read_collection(
     return df.select(*front, *[c for c in df.columns if c not in front])
 
 
-def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = False) -> str:
+def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = False, rollup: bool = True) -> str:
     """Write the ledger as a new version under ``root`` and return its path.
 
     Versions are named by write time, so the newest complete one (with
@@ -115,7 +116,12 @@ def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = Fals
     The rows are rebalanced on ``month_key`` first: each month lands in few
     files instead of one per write task, and AQE splits a hot month over
     several tasks.
+
+    The version's rollup (sums by month, category and type) is written beside
+    it afterwards, from the four columns it needs of the files just written;
+    ``rollup=False`` leaves it out.
     """
+    spark = ledger.sparkSession
     path = f"{root.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     if partition_by_month:
         keyed = ledger.withColumn(MONTH_KEY, F.date_format(F.col(DATE), "yyyy-MM")).hint("rebalance", MONTH_KEY)
@@ -123,9 +129,17 @@ def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = Fals
     else:
         w = ledger.write
     w.mode("errorifexists").parquet(path)
+    if rollup:
+        build_rollup(spark.read.parquet(path)).write.mode("errorifexists").parquet(rollup_path(path))
     return path
 
 
+def rollup_path(version: str) -> str:
+    """Where the rollup of a ledger version lies: beside it, under the same name with ``r-`` for ``v-``."""
+    folder, _, name = version.rstrip("/").rpartition("/")
+    return f"{folder}/r-{name.removeprefix('v-')}"
+
+
 def current_ledger_path(spark: SparkSession, root: str) -> str | None:
     fs, p = _fs_and_path(spark, root)
     if not fs.exists(p):
@@ -143,3 +157,12 @@ def current_ledger_path(spark: SparkSession, root: str) -> str | None:
 def read_current_ledger(spark: SparkSession, root: str) -> DataFrame:
     path = current_ledger_path(spark, root)
     return spark.createDataFrame([], LEDGER) if path is None else spark.read.parquet(path)
+
+
+def read_current_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """Rollup of the current ledger version; built from the version itself where none was written (or its write did not finish)."""
+    version = current_ledger_path(spark, root)
+    if version is None:
+        return build_rollup(spark.createDataFrame([], LEDGER))
+    path = rollup_path(version)
+    return spark.read.parquet(path) if path_exists(spark, f"{path}/_SUCCESS") else build_rollup(spark.read.parquet(version))
