@@ -28,14 +28,15 @@ MONTH_KEY = "month_key"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def _fs_and_path(spark: SparkSession, path: str):
+def fs_and_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the engine sees them."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs_and_path(spark, path)
+    fs, p = fs_and_path(spark, path)
     return bool(fs.exists(p))
 
 
@@ -141,7 +142,7 @@ def rollup_path(version: str) -> str:
 
 
 def current_ledger_path(spark: SparkSession, root: str) -> str | None:
-    fs, p = _fs_and_path(spark, root)
+    fs, p = fs_and_path(spark, root)
     if not fs.exists(p):
         return None
     versions = sorted(
@@ -149,7 +150,7 @@ def current_ledger_path(spark: SparkSession, root: str) -> str | None:
         reverse=True,
     )
     for v in versions:
-        if fs.exists(_fs_and_path(spark, f"{v}/_SUCCESS")[1]):
+        if fs.exists(fs_and_path(spark, f"{v}/_SUCCESS")[1]):
             return v
     return None
 
