@@ -2,14 +2,15 @@
 
 A collection is a folder of JSON-lines record files (schemaless records,
 one id per record, append-only).  Reading it yields the union of all keys,
-missing keys as null.  The reader's own inference finds the keys of every
-record, whoever wrote it; a caller who knows the schema passes it and saves
-that pass.  The working ledger is replaced by writing a new version folder,
+missing keys as null.  Appends are committed as a whole, with a summary of
+their keys and types (``commits``); the reader's own inference is needed for
+files of other writers only.  The working ledger is replaced by writing a new version folder,
 never by overwriting the folder being read.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterable, Sequence
@@ -21,38 +22,35 @@ from pyspark.sql import types as T
 from ..functions.clean import to_timestamp_ntz
 from ..operators.metrics import build_rollup
 from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC
+from .commits import Commit, commit, commits, find_commit, json_type, merged, new_attempt, settled
 from .csv import require_columns
+from .files import fs_and_path, has_visible_files, path_exists
 
 ID = "_id"
 MONTH_KEY = "month_key"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def fs_and_path(spark: SparkSession, path: str):
-    """The file system of a path, and the path, as the engine sees them."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = fs_and_path(spark, path)
-    return bool(fs.exists(p))
-
-
 def append_collection(
     records: DataFrame,
     path: str,
     idempotent: bool = False,
     max_records_per_file: int | None = None,
     required: Iterable[str] = REQUIRED_SYNC,
+    batch: str | None = None,
 ) -> int:
-    """Append every row as one record with its own id; returns the number written.
+    """Append every row as one record with its own id; returns the number of records added.
+
+    An append counts as a whole or not at all: its files are read only once
+    its commit names them (``commits``), so a run that dies adds nothing.
+    ``batch`` names what is appended: a batch that was committed before adds
+    nothing and returns 0, so a caller repeats a failed run under its name.
 
     Ids are random (``uuid()``), or with ``idempotent=True`` a SHA-256 of the
-    record's content, so a re-run writes the same ids and re-sent records can
-    be dropped by id (identical records then share an id: use it only when a
-    record's content identifies it).  The count comes from an ``Observation`` of the write
+    record's content, and records whose id an earlier such append has
+    committed are left out (use it only when a record's content identifies
+    it; records that are identical within one call share an id and are all
+    written).  The count comes from an ``Observation`` of the write
     itself (no second pass).  Files hold at most ``max_records_per_file``
     records when it is set (the record store committed 400 at a time; on
     files that limit would only multiply small files, so the default is
@@ -60,16 +58,32 @@ def append_collection(
     anything is written.
     """
     require_columns(records.columns, required)
+    spark = records.sparkSession
+    batch = uuid.uuid4().hex if batch is None else batch
+    if find_commit(spark, path, batch) is not None:
+        return 0
     cols = records.columns
     rid = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampNTZFormat": TS_FORMAT}), 256) if idempotent else F.expr("uuid()")
+    out = records.select(rid.alias(ID), *cols)
+    known = [c.folder for c in commits(spark, path) if c.content_ids] if idempotent else []
+    if known:
+        out = out.join(spark.read.schema(f"{ID} string").json(known), ID, "left_anti")
     obs = Observation(f"append_{uuid.uuid4().hex}")
-    out = records.select(rid.alias(ID), *cols).observe(obs, F.count(F.lit(1)).alias("n"))
+    held = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]
     # Nulls are written, so a key that is null in every record is still a key.
-    w = out.write.mode("append").option("timestampNTZFormat", TS_FORMAT).option("ignoreNullFields", False)
+    folder = new_attempt(path, batch)
+    w = out.observe(obs, F.count(F.lit(1)).alias("n"), *held).write.option("timestampNTZFormat", TS_FORMAT).option("ignoreNullFields", False)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
-    w.json(path)
-    return int(obs.get["n"])
+    w.json(folder)
+    seen = obs.get
+    n = int(seen["n"])
+    # Keys and types as inference would find them: none without records, no type where all are null.
+    types = [T.NullType() if not seen[f"n{i}"] else json_type(records.schema[c].dataType) for i, c in enumerate(cols)] if n else []
+    keys = T.StructType([T.StructField(c, t) for c, t in zip([ID, *cols], [T.StringType(), *types], strict=True)]) if n and None not in types else T.StructType([])
+    unknown = bool(n) and not keys.fields
+    done = Commit(batch, folder, n, idempotent, "" if unknown else keys.json())
+    return n if commit(spark, path, done) else 0
 
 
 def read_collection(
@@ -80,20 +94,19 @@ def read_collection(
 ) -> DataFrame:
     """All records of one or more collections; columns are the union of keys.
 
-    The keys and types are inferred over all records (one pass; conflicting
-    types are widened); ``schema`` replaces that pass where it is known.
-    Records of other writers count like our own, and an append of no rows
-    adds no key.  A missing or empty collection gives an empty ledger.  A
+    Records count if an append committed them, or if another writer's files
+    lie in the collection's folder.  Keys and types come from the summaries of
+    the commits; only files without one are passed over to infer them
+    (conflicting types are widened alike); ``schema`` replaces both where it is
+    known.  Records of other writers count like our own, and an append of no
+    rows adds no key.  A missing or empty collection gives an empty ledger.  A
     text ``Date`` is parsed to TIMESTAMP_NTZ.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
     roots = [p for p in roots if path_exists(spark, p)]
-    if not roots:
+    frames = [f for f in (_records(spark, root, schema) for root in roots) if f is not None]
+    if not frames:
         return spark.createDataFrame([], LEDGER)
-    frames = []
-    for root in roots:
-        reader = spark.read.option("timestampNTZFormat", TS_FORMAT)
-        frames.append((reader if schema is None else reader.schema(schema)).json(root))
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f, allowMissingColumns=True)
@@ -107,6 +120,26 @@ def read_collection(
     return df.select(*front, *[c for c in df.columns if c not in front])
 
 
+def _records(spark: SparkSession, root: str, schema: T.StructType | None) -> DataFrame | None:
+    """Records of one collection in one scan, or None if it has none."""
+    reader = spark.read.option("timestampNTZFormat", TS_FORMAT)
+    done = [c for c in commits(spark, root) if c.records]
+    folders = [c.folder for c in done]
+    others = [root] if has_visible_files(spark, root) else []
+    if not folders and not others:
+        return None
+    if schema is None:
+        schema = T.StructType([])
+        for c in done:
+            if c.schema:
+                schema = merged(schema, T.StructType.fromJson(json.loads(c.schema)))
+        unknown = others + [c.folder for c in done if not c.schema]
+        if unknown:
+            schema = merged(schema, reader.json(unknown).schema)
+        schema = settled(schema)
+    return reader.schema(schema).json(folders + others)
+
+
 def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = False, rollup: bool = True) -> str:
     """Write the ledger as a new version under ``root`` and return its path.
 
