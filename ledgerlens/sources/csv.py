@@ -7,8 +7,11 @@ fields than the header, or a date that does not parse, fails the job (the
 upload is rejected as a whole) through a filter that column pruning cannot
 remove.
 
-Every part of an upload must have the first part's header: the reader
-checks each file's header and fails the job otherwise.  The reader keeps the
+The parts of an upload may order, spell (before normalising) or extend their
+columns differently: the headers of all parts are catalogued first, each
+distinct header is one scan of its files, and the scans are joined by column
+name.  The reader checks each file's header again and fails the job if it is
+another one by then.  It keeps the
 raw text of rows with another number of fields than the header, so fields
 are counted on those rows alone: more fields (empty ones included, as in
 ``a,b,c,d,``) reject the upload, fewer leave the last columns null.
@@ -16,6 +19,8 @@ are counted on those rows alone: more fields (empty ones included, as in
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.clean import amount_expr, na_to_null, parse_timestamp, type_expr
 from ..schema import AMOUNT, CATEGORY, DATE, DESCRIPTION, INCOME_KEYWORDS, LEDGER_COLUMNS, REQUIRED_SYNC, REQUIRED_UPLOAD, TYPE
+from .files import data_files, first_records, literal_path
 
 RAW_ROW = "_raw_row"
 # A quote inside a quoted field is doubled (RFC 4180, as pandas reads it); Spark's default escape is a backslash.
@@ -63,12 +69,18 @@ def require_columns(columns: Iterable[str], required: Iterable[str] = REQUIRED_U
         raise ValueError(f"Missing columns: {', '.join(missing)}")
 
 
-def read_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
-    """The raw header names: the first CSV record, read without inference."""
-    first = spark.read.option("header", False).option("escape", QUOTE).option("multiLine", multiline).csv(path).first()
-    if first is None:
+def header_catalogue(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of an upload by their header (raw names, in order), the first file's header first; files without a record are left out."""
+    files = data_files(spark, path)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name, record in zip(files, first_records(spark, files), strict=True):
+        if record is not None:
+            # A UTF-8 byte-order mark is not part of the name; the reader drops it too.
+            names = next(csv.reader(io.StringIO(record.removeprefix("\ufeff"), newline="")))
+            found.setdefault(tuple(names), []).append(name)
+    if not found:
         raise ValueError(f"No header in {path}")
-    return [("" if v is None else v) for v in first]
+    return found
 
 
 # A quoted section; delimiters within it do not separate fields.  A doubled quote is two
@@ -130,14 +142,32 @@ def read_ledger_csv(
     Category required); ``normalize=False`` the sync contract (exact headers,
     Date/Description/Amount required, Category optional).  ``date_format``
     may list several patterns: the first that fits a date counts, and a date
-    that fits none rejects the upload.  ``multiline=True`` reads quoted fields
+    that fits none rejects the upload.  A column that only some parts have is
+    null in the others (``Type`` is inferred there).  ``multiline=True`` reads quoted fields
     with line breaks (a file is then one task, as it cannot be split).
     """
-    header = read_header(spark, path, multiline)
-    plain = [h.lstrip("\ufeff") for h in header[:1]] + header[1:]  # a UTF-8 byte-order mark is not part of the name
-    names = [normalize_name(h) for h in plain] if normalize else plain
-    check_unique(names)
-    require_columns(names, required if required is not None else (REQUIRED_UPLOAD if normalize else REQUIRED_SYNC))
+    needed = required if required is not None else (REQUIRED_UPLOAD if normalize else REQUIRED_SYNC)
+    catalogue = header_catalogue(spark, path)
+    for header in catalogue:  # all headers are checked before anything is scanned
+        names = _names(header, normalize)
+        check_unique(names)
+        require_columns(names, needed)
+    frames = []
+    for header, files in catalogue.items():
+        where = path if len(catalogue) == 1 else [literal_path(f) for f in files]
+        frames.append(clean_ledger(_scan(spark, where, list(header), _names(header, normalize), multiline), date_format, keywords))
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def _names(header: Sequence[str], normalize: bool) -> list[str]:
+    return [normalize_name(h) for h in header] if normalize else list(header)
+
+
+def _scan(spark: SparkSession, where: str | list[str], header: list[str], names: list[str], multiline: bool) -> DataFrame:
+    """All-string rows of files with one header, missing-value tokens as null, and the raw text of rows of another width."""
     # Headers that Spark would call ambiguous or that are blank cannot be checked by name.
     checked = "" not in header and len({h.lower() for h in header}) == len(header) and RAW_ROW not in header
     given = header if checked else [f"_c{i}" for i in range(len(header))]
@@ -151,11 +181,10 @@ def read_ledger_csv(
         .option("escape", QUOTE)
         .option("multiLine", multiline)
         .option("maxCharsPerColumn", -1)
-        .csv(path)
+        .csv(where)
         .toDF(*names, RAW_ROW)
     )
-    raw = raw.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names], RAW_ROW)
-    return clean_ledger(raw, date_format, keywords)
+    return raw.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names], RAW_ROW)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
