@@ -200,8 +200,8 @@ SELECT *, {row_text('"Date"', '"Description"', '"Amount"', '"Category"')} AS tex
     "text_fingerprint": f"""WITH {LEDGER}, t AS (SELECT *, {row_text('"Date"', '"Description"', '"Amount"', '"Category"')} AS text FROM ledger)
 SELECT *, md5(text) AS fp FROM t""",
     "dataset_fingerprint": f"""WITH {LEDGER}, t AS (SELECT {row_text('"Date"', '"Description"', '"Amount"', '"Category"')} AS text FROM ledger)
-SELECT count(*) AS n_rows,
-       CAST(COALESCE(SUM(CAST(('0x' || substr(md5(text), 1, 8)) AS UBIGINT)), 0) AS VARCHAR) AS fp_sum FROM t""",
+SELECT count(*) AS n_rows, concat_ws('-', {", ".join(f"CAST(COALESCE(SUM(CAST(('0x' || substr(md5(text), {k}, 8)) AS UBIGINT)), 0) AS VARCHAR)" for k in (1, 9, 17, 25))}) AS fp_sum
+FROM t""",
     "records_json": f"""WITH {EVENTS}
 SELECT *, CAST(to_json(struct_pack("Date" := {ts_text('"Date"')}, "Description" := "Description",
        "Amount" := "Amount", "Category" := "Category", "Type" := "Type")) AS VARCHAR) AS record FROM ledger""",

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import to_timestamp_ntz
+from ..functions.text import fingerprint_parts, row_text
 from ..operators.metrics import build_rollup
-from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC
+from ..schema import DATE, LEDGER, LEDGER_COLUMNS, REQUIRED_SYNC, TYPE
 from .commits import Commit, commit, commits, find_commit, json_type, merged, new_attempt, settled
 from .csv import require_columns
 from .files import fs_and_path, has_visible_files, path_exists
@@ -140,7 +141,7 @@ def _records(spark: SparkSession, root: str, schema: T.StructType | None) -> Dat
     return reader.schema(schema).json(folders + others)
 
 
-def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = False, rollup: bool = True) -> str:
+def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = False, rollup: bool = True, fingerprint: bool = False) -> str:
     """Write the ledger as a new version under ``root`` and return its path.
 
     Versions are named by write time, so the newest complete one (with
@@ -153,7 +154,9 @@ def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = Fals
 
     The version's rollup (sums by month, category and type) is written beside
     it afterwards, from the four columns it needs of the files just written;
-    ``rollup=False`` leaves it out.
+    ``rollup=False`` leaves it out.  ``fingerprint=True`` also
+    writes the fingerprint of its rows, one row, which tells whether another
+    table has the same rows (``same_as_current``) without reading this version.
     """
     spark = ledger.sparkSession
     path = f"{root.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
@@ -165,13 +168,47 @@ def replace_ledger(ledger: DataFrame, root: str, partition_by_month: bool = Fals
     w.mode("errorifexists").parquet(path)
     if rollup:
         build_rollup(spark.read.parquet(path)).write.mode("errorifexists").parquet(rollup_path(path))
+    if fingerprint:
+        ledger_fingerprint(spark.read.parquet(path)).write.mode("errorifexists").parquet(fingerprint_path(path))
     return path
 
 
+def _beside(version: str, mark: str) -> str:
+    folder, _, name = version.rstrip("/").rpartition("/")
+    return f"{folder}/{mark}-{name.removeprefix('v-')}"
+
+
 def rollup_path(version: str) -> str:
     """Where the rollup of a ledger version lies: beside it, under the same name with ``r-`` for ``v-``."""
-    folder, _, name = version.rstrip("/").rpartition("/")
-    return f"{folder}/r-{name.removeprefix('v-')}"
+    return _beside(version, "r")
+
+
+def fingerprint_path(version: str) -> str:
+    """Where the fingerprint of a ledger version lies: beside it, under the same name with ``f-`` for ``v-``."""
+    return _beside(version, "f")
+
+
+def ledger_fingerprint(ledger: DataFrame) -> DataFrame:
+    """Fingerprint parts (one row) of a ledger's rows: text and type of each."""
+    typed = row_text(ledger).withColumn("text", F.concat("text", F.lit(", Type: "), F.coalesce(F.col(TYPE), F.lit("\0"))))
+    return fingerprint_parts(typed)
+
+
+def current_fingerprint(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint parts of the current version; computed from the version itself where none was written."""
+    version = current_ledger_path(spark, root)
+    if version is None:
+        return ledger_fingerprint(spark.createDataFrame([], LEDGER))
+    path = fingerprint_path(version)
+    return spark.read.parquet(path) if path_exists(spark, f"{path}/_SUCCESS") else ledger_fingerprint(spark.read.parquet(version))
+
+
+def same_as_current(ledger: DataFrame, root: str) -> bool:
+    """Whether the current version under ``root`` has exactly the rows of ``ledger``, in any order (then it need not be replaced)."""
+    spark = ledger.sparkSession
+    if current_ledger_path(spark, root) is None:
+        return False
+    return ledger_fingerprint(ledger).first() == current_fingerprint(spark, root).first()
 
 
 def current_ledger_path(spark: SparkSession, root: str) -> str | None:
