@@ -10,11 +10,11 @@ What is learnt, and how it scales:
 
 - Bit counts of all contexts come from all training texts: tokens are counted in Spark first, so a token is taken apart once,
   however often it occurs.  Every context has counts of its own; no table of them is gathered or broadcast.  Distinct tokens lie in
-  shards of about ``SHARD_ROWS``, ranged by token.  Tokens that begin alike share a shard, so the counts after the token so far are
+  shards of about ``SHARD_ROWS`` rows and ``SHARD_BYTES`` bytes at most, ranged by token.  Tokens that begin alike share a shard, so the counts after the token so far are
   complete there, but for the beginnings of a shard's first and last token.  Those, and the counts after one to four bytes, are
   summed in Spark by context, and each shard gets back the ones that it holds.
 - Mixing weights and the map are learnt online (one step for each small batch of tokens, every token's own count left out) in
-  the same shards, in an order by hash; the shards' weights are averaged.
+  the same shards, in an order by hash; the shards' weights are averaged.  A shard returns one row, and rows are added up in tasks.
 - The scores of all distinct tokens, and their counts for the plain base score: the ``TOP_TOKENS`` most frequent are broadcast, all
   others are joined.
 """
@@ -31,7 +31,7 @@ from . import textbytes as B
 
 ORDERS = 5  # predictors: last one, two, three, four bytes, the token so far
 TOP_TOKENS = 1 << 17
-SHARD_ROWS = 100_000
+SHARD_ROWS, SHARD_BYTES = 100_000, 2 << 20  # rows, and bytes of their tokens, of a shard on average
 BATCH_TOKENS = 1024
 PRIOR = 0.1
 KINDS = 4  # of the token before: none, word, sentence stop, other
@@ -325,11 +325,18 @@ class Mixer:
 
 
 def _learn(group: pa.Table, summed: pa.Table) -> pa.Table:
-    """What a shard learnt, to be added up by ``i``: its mass, weights times mass, map counts."""
+    """What a shard learnt, as one row: its mass, weights times mass and map counts, as the bytes of one array."""
     bits, codes, n = _shard(_by_hash(group), summed)
     mass, weights, seen = Mixer(codes).learn(bits, n)
     x = np.concatenate([[float(mass)], weights.ravel() * mass, seen.ravel()])
-    return pa.table([np.arange(x.size, dtype=np.int32), x], names=["i", "x"])
+    return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """Rows of what shards learnt as their sum, in the order of their shards."""
+    rows = sorted(zip(group["part"].to_pylist(), group["x"].to_pylist(), strict=True))
+    total = np.sum([np.frombuffer(x) for _, x in rows], axis=0)
+    return pa.table({"part": pa.array([rows[0][0]], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
 
 
 def _score(learnt):
@@ -378,16 +385,21 @@ def _scorer(top):
 def score_tokens(pairs: DataFrame, root: str) -> DataFrame:
     """``kind, token, n, m, c, first, score`` of token counts ``kind, token, n, m``; tables are written under ``root``."""
     spark = pairs.sparkSession
-    shards = max(1, -(-pairs.count() // SHARD_ROWS))
+    size = pairs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-size.rows // SHARD_ROWS), -(-size.bytes // SHARD_BYTES))
     pairs.repartitionByRange(shards, "token").withColumn("part", F.spark_partition_id()).write.parquet(f"{root}/shards")
     tokens = spark.read.parquet(f"{root}/shards")
     held = tokens.groupBy("part").applyInArrow(_held, "part int, key bigint, n bigint")
     held = held.repartition(F.shiftrightunsigned("key", 8)).sortWithinPartitions("key")
     held.mapInArrow(_sum_held, "part int, key bigint, low bigint, high bigint").write.parquet(f"{root}/summed")
     both = tokens.groupBy("part").cogroup(spark.read.parquet(f"{root}/summed").groupBy("part"))
-    got = both.applyInArrow(_learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+    # One row for each shard, added up in groups of about the square root of their number, then all groups.
+    learnt = both.applyInArrow(_learn, "part int, x binary").withColumn("some", F.pmod("part", F.lit(max(1, round(shards**0.5)))))
+    merged = learnt.groupBy("some").applyInArrow(lambda t: _added(t.drop(["some"])), "part int, x binary")
+    one = merged.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _added(t.select(["part", "x"])), "part int, x binary").collect()
     mixer = Mixer(np.zeros(0, np.uint16))
-    if got.size:
+    if one:
+        got = np.frombuffer(one[0].x)
         at = 1 + mixer.weights.size
         mixer.take(got[0], got[1:at], got[at:])
     learnt = spark.sparkContext.broadcast((mixer.weights, mixer.map))
