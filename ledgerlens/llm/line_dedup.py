@@ -31,7 +31,7 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
 
 
-def _two(*what: Column) -> list[Column]:
+def two_hashes(*what: Column) -> list[Column]:
     """Two 64-bit hashes of some values."""
     return [F.xxhash64(*what), F.xxhash64(F.lit(7), *what)]
 
@@ -50,7 +50,7 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int, heavy: int) -> Data
     root = scratch_path(spark, "lines")
     every = docs.select("id", "r1", "r2", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
     keyed = every.select("id", "r1", "r2", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    h1, h2 = _two(F.col("key"))
+    h1, h2 = two_hashes(F.col("key"))
     keyed.select("id", "r1", "r2", "pos", h1.alias("h1"), h2.alias("h2")).write.parquet(f"{root}/lines")
     keyed = spark.read.parquet(f"{root}/lines")
 
@@ -89,7 +89,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     # Null and empty texts have one identity, and no line that could go.
-    r1, r2 = _two(F.col("id").isNull(), F.col("id"), F.col("text"))
+    r1, r2 = two_hashes(F.col("id").isNull(), F.col("id"), F.col("text"))
     src = src.select("id", "text", r1.alias("r1"), r2.alias("r2"))
     out = src.join(_dropped(src, min_chars, min_docs, heavy), ["r1", "r2"], "left")
     parts = lines(F.col("text"))
