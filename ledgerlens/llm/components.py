@@ -16,7 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "components")
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
+    # Both directions of an edge from one pass over the edges, which may be costly to make.
+    sides = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.where("a <> b").select(F.inline(sides)).distinct()
     both.write.parquet(f"{root}/edges")
     both = spark.read.parquet(f"{root}/edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
