@@ -82,18 +82,6 @@ class PieceModel:
             marks[i] = bytes([b])
         self._spelled = np.frombuffer(b"".join(marks), np.uint8)
         self._from = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
-        self._ends: dict = {}  # the pieces letter by letter from their ends
-        for piece in self.ids:
-            node = self._ends
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
-        self._pairs: dict[tuple[str | None, str], bool] = {}
-        self._parts: dict[str, tuple[str, str] | None] = {}
-        marks = [b.encode() for b in (x.replace(SPACE, " ") for x in self.pieces)]
-        for b, i in enumerate(self.bytes):
-            marks[i] = bytes([b])
-        self._bytes_of = marks.__getitem__
         self.words = Words(self)
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -278,20 +266,21 @@ def _decoded(model: PieceModel, col: pa.Array) -> pa.Array:
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns of ``docs`` and ``ids_col``: the whole text's ids.  A null text has null ids, an empty one none.
 
-    One row per input row, in place, without a shuffle.  If ``docs`` has a column of that name, use another.
+    One row per input row, in place, without a shuffle.  A column of that name that ``docs`` has already is replaced.
     """
     return _mapped(docs, model_path, text_col, {ids_col: T.ArrayType(T.IntegerType())}, lambda m, c: [_encoded(m, c)])
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """All columns and ``text_col``: the text of the ids.  Null ids give a null text."""
+    """All columns and ``text_col``: the text of the ids.  Null ids give a null text; a column of that name is replaced."""
     return _mapped(docs, model_path, ids_col, {text_col: T.StringType()}, lambda m, c: [_decoded(m, c)])
 
 
 def _mapped(docs: DataFrame, model_path: str, source: str, targets: dict, make) -> DataFrame:
     """Columns made from one column, added to the others in place."""
-    if set(targets) & set(docs.columns):
-        raise ValueError(f"there is a column {', '.join(targets)} already")
+    if source in targets:
+        raise ValueError(f"the result would replace its source {source}")
+    docs = docs.drop(*targets)
     name = _send(docs.sparkSession, model_path)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(source)

@@ -140,8 +140,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fit on at most ``max_rows`` labelled documents: those with the smallest hash of their id.
 
     Null labels are ignored; a document labelled more than once takes the rounded mean.  Labelled ids without a document
-    are ignored, null texts count as empty, a document id that repeats gives a row for each.  Without any label the machine
-    gives 1/2 everywhere.  Features are made by the tasks; the driver gets at most ``max_rows`` sparse rows.
+    are ignored, null texts count as empty.  A document id that repeats gives a row for each, up to ``2 * max_rows`` rows in
+    all (the part of the bound that such ids fill; by ascending id as text).  Without any label the machine gives 1/2 everywhere.  Features are made by the tasks; the driver gets at most ``max_rows`` sparse rows.
     """
     spark = docs.sparkSession
     want = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
@@ -179,10 +179,11 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", sco
     """All columns of ``docs`` and ``score_col`` in 0 to 1: how likely label 1 is.
 
     One row per input row, in place, without a shuffle.  Null and empty texts are scored by their statistics alone.
-    If ``docs`` has a column of that name, use another.  Only the text is an input of the score.
+    A column of that name that ``docs`` has already is replaced.  Only the text is an input of the score.
     """
-    if score_col in docs.columns:
-        raise ValueError(f"there is a column {score_col} already")
+    if score_col == text_col:
+        raise ValueError("the score would replace the text")
+    docs = docs.drop(score_col)
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size: 2^15 buckets of rank 8
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)

@@ -150,3 +150,61 @@ def divergence(rows, min_docs=10, top=10):
                 found = sorted(found, key=lambda x: (-x[0], x[1]))[: top if part == "term" else None]
                 out += [(lang, s, part, item, v, k) for k, (v, item) in enumerate(found, 1)]
     return out
+
+
+def quality_score(machine, bucket_of, text):
+    """Score of a text by a factorisation machine, with every pair of features; ``bucket_of`` gives a word's bucket."""
+    raw = (text or "").encode()
+    w = words(text)
+    n, per = max(1, len(w)), max(1, len(raw))
+    count = Counter(map(bucket_of, w))
+    symbols = {c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"!?-()"}
+    of = lambda keep: sum(1 for c in raw if keep(c))
+    stats = [
+        math.log1p(len(raw)) / 10,
+        math.log1p(len(w)) / 10,
+        sum(len(x.encode()) for x in w) / n / 10,
+        len(count) / n,
+        of(symbols.__contains__) / per * 10,
+        of(lambda c: 48 <= c <= 57) / per * 10,
+        of(lambda c: 65 <= c <= 90) / per * 10,
+        of(b".!?".__contains__) / n * 5,
+        of(lambda c: c == 10) / n * 5,
+        of(lambda c: c == 32) / n,
+        of(lambda c: c >= 128) / per * 5,
+        max(count.values(), default=0) / n * 5,
+    ]
+    size = len(machine.weight) - len(stats)
+    x = {b: math.sqrt(c) / math.sqrt(n) for b, c in count.items()}
+    for k, v in enumerate(stats):
+        x[size + k] = max(-4.0, min(4.0, (v - machine.mean[k]) / machine.scale[k])) / math.sqrt(len(stats))
+    z = machine.bias + sum(machine.weight[i] * v for i, v in x.items())
+    some = list(x)
+    for a, i in enumerate(some):
+        for j in some[:a]:
+            z += float(machine.factor[i] @ machine.factor[j]) * x[i] * x[j]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def licenses(text, templates, bigrams, threshold=0.8):
+    """{template: best Dice coefficient} over the lines, paragraphs, whole text and all windows of the template's size."""
+    text = text or ""
+    blocks = re.split(r"\n[ ]*\n\s*", text) if re.search(r"\n[ ]*\n", text) else []
+    units = [bigrams(u) for u in text.split("\n") + blocks + ([text] if "\n" in text else [])]
+    every, out = bigrams(text), {}
+    for name, own in templates.items():
+        need, m = Counter(own), len(own)
+        dice = lambda w: 2 * sum((Counter(w) & need).values()) / (len(w) + m) if w else 0.0  # noqa: B023, E731
+        best = max((dice(w) for w in units), default=0.0)
+        have, common = Counter(), 0
+        for k, g in enumerate(every):  # the window that ends here
+            have[g] += 1
+            common += have[g] <= need[g]
+            if k >= m:
+                common -= have[every[k - m]] <= need[every[k - m]]
+                have[every[k - m]] -= 1
+            if k >= m - 1:
+                best = max(best, common / m)
+        if best >= threshold - 1e-12:
+            out[name] = best
+    return out

@@ -14,6 +14,8 @@ import pyarrow.compute
 import pytest
 from brute import contamination as brute_contamination
 from brute import jaccard as brute_jaccard
+from brute import licenses as brute_licenses
+from brute import quality_score as brute_quality
 from brute import repeats as brute_repeats
 from brute import words
 from hypothesis import given, settings
@@ -46,7 +48,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     want = c.sql(ORACLE[name]).df()
     got = QUERIES[name](spark, D).select(*want.columns).toPandas()
@@ -107,9 +109,24 @@ def test_exact_dedup_edges(awkward, nothing):
 
 
 def test_chunk_lists_tell_texts_apart(spark):
-    texts = ["a.Eb", "a.E\0b", "a.E", ".E\0", "\0.E", "a.Tb.Ec", "a.Tb.E\0c", "", "\0", "\0\0"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert df.select(exact_dedup.chunks(F.col("t"))).distinct().count() == len(texts)
+    rng = random.Random(4)
+    texts = ["a", "ab", "", "\0", "\0\0", "nb" * 900, "nb" * 901, "x" * 1499, "x" * 1500, "x" * 1501, "日本日" * 700, "日本日" * 700 + "本", "a\u2028b" * 50]
+    texts += ["".join(rng.choice("nrb .N2é日本\U0001f600") for _ in range(rng.randrange(4000))) for _ in range(30)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", exact_dedup.chunks(F.col("t")).alias("c"))
+    got = df.collect()
+    assert all("".join(r.c) == r.t and all(0 < len(c) <= exact_dedup.LONGEST for c in r.c) for r in got if r.t) and [""] in [r.c for r in got]
+    assert len({tuple(r.c) for r in got}) == len(set(texts))
+
+
+def test_chunks_follow_content(spark):
+    """In every language long texts are cut into many chunks, and an insertion changes few of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 2000")
+    norm = exact_dedup.normalized(F.col("text"))
+    cut = docs.select("lang", exact_dedup.chunks(norm).alias("c"), exact_dedup.chunks(F.concat(F.lit("inserted"), norm)).alias("d"))
+    per = cut.groupBy("lang").agg(F.min(F.size("c")).alias("least"), F.avg(F.size("c")).alias("n"), F.avg(F.size(F.array_except("c", "d"))).alias("other")).collect()
+    assert len(per) == 4 and all(r.least >= 2 and r.n > 8 and r.other < 4 for r in per), per
+    odd = spark.createDataFrame([(t,) for t in ("if x:\n  return foo(bar[i])\n" * 300, "слово за слово " * 400, "0123456789abcdef" * 400)], "t string")
+    assert odd.where(F.size(exact_dedup.chunks(F.col("t"))) < 4).count() == 0
 
 
 # --- Jaccard join
@@ -403,6 +420,19 @@ def test_pairs_identity():
     assert z[0] == pytest.approx(want)
 
 
+def test_quality_score_equals_plain_version(spark, docs, rows):
+    machine = quality.fit_quality(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    some = [(i, t) for i, t in rows if len(t or "") < 900][:60] + [(-1, None), (-2, ""), (-3, "x" * 5000), (-4, "é 日本 !?\n\n 12")]
+
+    def bucket(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(textbytes.hashes(raw, np.array([0]), np.array([raw.size]))[0] >> np.uint64(64 - quality.BUCKET_BITS))
+
+    got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(some, "doc_id long, text string"), machine).collect()}
+    assert got == pytest.approx({i: brute_quality(machine, bucket, t) for i, t in some}, abs=1e-9)
+    assert len({round(v, 3) for v in got.values()}) > 20
+
+
 def test_quality_edges(spark, awkward, nothing):
     labels = spark.createDataFrame([(0, 1), (0, 1), (3, 0), (None, 1), (99, 0), (1, None)], "doc_id long, quality int")
     machine = quality.fit_quality(awkward, labels)
@@ -411,37 +441,75 @@ def test_quality_edges(spark, awkward, nothing):
     even = quality.fit_quality(awkward, labels.where("1 = 0"))
     assert quality.score_quality(awkward.select("doc_id", "text"), even).where("abs(score - 0.5) > 0.2").count() == 0
     assert quality.score_quality(nothing, machine, score_col="q").count() == 0
+    replaced = quality.score_quality(awkward, machine)  # there is a column score already
+    assert sorted(replaced.columns) == sorted(awkward.columns) and replaced.where("score = 0.5").count() == 0
+    with pytest.raises(ValueError, match="replace the text"):
+        quality.score_quality(awkward, machine, score_col="text")
 
 
 # --- licences
 
 
 def test_licenses(spark, docs, rows, awkward, nothing):
-    def dice(unit, own):
-        w = licenses.bigrams(unit)
-        common = sum((Counter(w) & Counter(own)).values())
-        return 2 * common / (len(w) + len(own)) if w else 0.0
-
+    full = licenses.TEMPLATES["MIT-full"]
+    wrapped = "\n".join(" * " + " ".join(full.split()[k : k + 9]) for k in range(0, 200, 9))
     texts = rows + [(1000, licenses.TEMPLATES["MIT-text"]), (1001, "a\n\nLicensed under the Apache\nLicense, Version 2.0\n\nb"), (1002, None), (1003, "released UNDER the mit licence"), (1004, "mit license " * 50)]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    texts += [
+        (1005, "Copyright 2020 Example Authors. Licensed under the Apache License, Version 2.0."),
+        (1006, "(c) 2021 Jane Doe, released under the MIT License."),
+        (1007, "This file is Licensed under the Apache License, Version 2.0, see LICENSE"),
+        (1008, "/*\n * Copyright 2020\n * Licensed under the Apache\n * License, Version 2.0\n */\nint main() {}\n"),
+        (1009, f"/*\n{wrapped}\n*/\nint x = 1;\n" + "code();\n" * 30),
+        (1010, "some words before " * 40 + licenses.TEMPLATES["BSD-3-Clause"] + " and words after" * 40),
+        (1011, full + " " + full.replace("software", "program").replace("Software", "Program")),
+        (1011, full),
+        (1012, full[: len(full) * 3 // 4]),
+    ]
+    got = {(r.doc_id, k): r for k, r in enumerate(licenses.scan_licenses(spark.createDataFrame([(i, t, "x", 1.5, 7) for i, t in texts], "doc_id long, text string, best string, dice double, r1 int")).orderBy("doc_id", F.desc("n_units")).collect())}
+    got = {k[0]: r for k, r in got.items()} | {("again", 1011): next(r for (i, _), r in got.items() if i == 1011)}
     for i, t in texts:
-        t = t or ""
-        blocks = re.split(r"\n[ ]*\n\s*", t) if re.search(r"\n[ ]*\n", t) else []
-        units = t.split("\n") + blocks + ([t] if "\n" in t else [])
-        want = {}
-        for u in units:
-            for name, text in licenses.TEMPLATES.items():
-                s = dice(u, licenses.bigrams(text))
-                if s >= 0.8:
-                    want[name] = max(want.get(name, 0), s)
+        want = brute_licenses(t, {n: licenses.bigrams(x) for n, x in licenses.TEMPLATES.items()}, licenses.bigrams)
+        if i == 1011:  # two texts with one id
+            assert "MIT-full" in want and got[i].licenses and got["again", i].licenses
+            continue
         assert got[i].licenses == sorted(want), (i, got[i], want)
         if want:
             best = min(want, key=lambda k: (-want[k], k))
             assert got[i].best == best and got[i].dice == pytest.approx(want[best])
-    assert licenses.scan_licenses(awkward).where("n_units > 0").count() == 0
+    assert {i: got[i].best for i in range(1005, 1011)} == {1005: "Apache-2.0", 1006: "MIT", 1007: "Apache-2.0", 1008: "Apache-2.0", 1009: "MIT-full", 1010: "BSD-3-Clause"}
+    assert licenses.scan_licenses(awkward).where("n_units > 0 or size(licenses) > 0").count() == 0 and licenses.scan_licenses(awkward).count() == len(AWKWARD)
     assert licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(docs, templates={}).where("n_units > 0").count() == 0
 
 
+def test_license_windows_with_repeats(spark):
+    """Bigrams that a template has once count once, however often a window has them; windows at both ends of a text are found."""
+    own = {"t": "a b a b c d e f", "u": "x y", "v": "p q r s t p q r s t p q"}
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice("abcdefxypqrst") if rng.random() < 0.3 else w for w in ("z " * rng.randrange(4) + rng.choice(list(own.values())) + " z" * rng.randrange(4)).split())) for i in range(60)]
+    texts += [(100, "a b " * 30), (101, "p q r s t " * 40), (102, "x y"), (103, "y x y"), (104, "a b a b c d e"), (105, "x"), (106, "a b a b c d e f")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), templates=own, threshold=0.7).collect()}
+    for i, t in texts:
+        want = brute_licenses(t, {n: licenses.bigrams(x) for n, x in own.items()}, licenses.bigrams, 0.7)
+        assert got[i].licenses == sorted(want), (t, got[i], want)
+        assert not want or got[i].dice == pytest.approx(max(want.values()))
+    assert len({tuple(r.licenses) for r in got.values()}) > 3
+
+
+def test_evidence_is_in_every_unit_that_fits():
+    rng = random.Random(8)
+    for name, text in licenses.TEMPLATES.items():
+        own = licenses.bigrams(text)
+        weights, need = licenses.evidence(own, 0.8)
+        assert need >= 1 and (len(own) < 60 or need >= len(own) // 8), name
+        w = " ".join(own[0].split()[:1] + [b.split()[1] for b in own]).split()
+        for _ in range(300):  # words left out, put in and replaced
+            some = [x for x in w if rng.random() > 0.12]
+            some = [rng.choice(["other", x, x, x, x, x, x, x]) for x in some][rng.randrange(3) : len(some) - rng.randrange(3)]
+            g = [f"{a} {b}" for a, b in zip(some, some[1:])]
+            if g and 2 * sum((Counter(g) & Counter(own)).values()) >= 0.8 * (len(g) + len(own)):
+                assert sum(n for x, n in weights.items() if x in " ".join(some)) >= need
+
+
 def test_size_bounds_prune_nothing_that_fits():
     for m in range(1, 60):
         low, high = licenses.size_bounds(m, 0.8)
