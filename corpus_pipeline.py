@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that ``run`` writes as Parquet and reads again as the
 next stage's documents.  All but the last return the columns of ``documents``.
+
+Null and empty texts are scored by their statistics (and go, unless the classifier accepts those), equal each other, have no
+near copies, no benchmark words, and null or no ids.  Very long texts are read whole.  A row that is repeated is an exact copy
+of itself, so one stays; of equal texts the longest, then the smallest id stays, of near copies the smallest id; a null id
+is smaller than all others.  Empty tables give empty results with the same columns.  Further columns of ``documents``,
+whatever their names, pass through all stages but the last, which returns its own columns.
 """
 
 from __future__ import annotations
@@ -17,8 +23,11 @@ from ledgerlens.session import scratch_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rates at its threshold or above."""
     machine = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
-    scored = quality.score_quality(docs, machine, score_col="quality_score")
-    return scored.where(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    score = "quality_score"
+    while score in docs.columns:
+        score = f"_{score}"
+    scored = quality.score_quality(docs, machine, score_col=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
