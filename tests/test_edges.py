@@ -247,6 +247,15 @@ def test_conversation_ops(spark):
     assert pending_turns(out).count() == 0
 
 
+def test_pending_turns_edges(spark):
+    rows = [(None, 1, "user", "no id"), (None, 0, "assistant", "z"), (3, None, "user", "no turn"), (4, 2, "user", None), (4, None, "assistant", "y")]
+    rows += [(5, 1, "user", "b"), (5, 1, "user", "a"), (5, 1, "assistant", "c"), (5, 1, "user", "a"), (6, 1, None, "no role"), (7, 1, "assistant", "q"), (7, 0, "user", "q")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id, r.turn, r.text) for r in pending_turns(conv).collect()), key=str)
+    assert got == sorted([(None, 1, "no id"), (4, 2, None), (5, 1, "a")], key=str)
+    assert pending_turns(conv.where("false")).count() == 0
+
+
 def test_embed_cached_empty_and_null_inputs(spark):
     from ledgerlens.operators.embed import embed_cached, fill_cache_counts
     from ledgerlens.session import scratch_path
