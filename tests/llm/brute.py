@@ -208,3 +208,51 @@ def licenses(text, templates, bigrams, threshold=0.8):
         if best >= threshold - 1e-12:
             out[name] = best
     return out
+
+
+def mixed_scores(texts, training, weights, refined, prior=0.1, exact=64, places=4, seen=12, cells=33):
+    """log10 probability of each text by context mixing with given weights and map, bit by bit with counts of whole contexts."""
+
+    def kind(byte):
+        return 1 if byte > 127 or chr(byte).isalnum() else 2 if byte in b".!?" else 3
+
+    def tokens(text):
+        out, before = [], 0
+        for w in re.findall(b"[^ \t\n\x0b\x0c\r]+", (text or "").translate(LOW).encode()):
+            out.append((before, w))
+            before = kind(w[-1])
+        return [*out, (before, b"")]
+
+    def steps(before, w):
+        """(symbol, place, contexts) of each byte and the terminator."""
+        symbols = [*w, 32]
+        for p, s in enumerate(symbols):
+            last = [symbols[p - d] if p >= d else before + 1 if p == d - 1 else 0 for d in range(1, 5)]
+            yield s, p, [*(tuple(last[: d + 1]) for d in range(4)), ("so far", *symbols[:p])]
+
+    counts = defaultdict(int)  # (predictor, context, bits so far of the symbol)
+    for t, use in zip(texts, training, strict=True):
+        for before, w in tokens(t) if use else ():
+            for s, _, contexts in steps(before, w):
+                bits = f"{s:08b}"
+                for i, c in enumerate(contexts):
+                    for b in range(1, 9):
+                        counts[i, c, bits[:b]] += 1
+    code = lambda n: n if n <= exact else exact * 2 ** ((min(255, exact + round(6 * math.log2(n / exact))) - exact) / 6)
+
+    def token(before, w):
+        total = 0.0
+        for s, p, contexts in steps(before, w):
+            bits = f"{s:08b}"
+            for b in range(8):
+                pairs = [(code(counts[i, c, bits[:b] + "0"]), code(counts[i, c, bits[:b] + "1"])) for i, c in enumerate(contexts)]
+                level = [min(int(math.log2(x + y + 1)), seen - 1) for x, y in pairs]
+                row = weights[(min(p, places - 1) * seen + level[3]) * seen + level[4]]
+                z = float(row[5]) + sum(float(row[i]) * (math.log(y + prior) - math.log(x + prior)) for i, (x, y) in enumerate(pairs))
+                z = (z + float(refined[b][min(cells - 1, max(0, round(z * 2) + cells // 2))])) / 2
+                z = max(-14.0, min(14.0, z))
+                total -= math.log1p(math.exp(-z if bits[b] == "1" else z)) / math.log(10)
+        return total
+
+    known = {}
+    return [sum(known.setdefault(x, token(*x)) if x not in known else known[x] for x in tokens(t)) for t in texts]

@@ -15,6 +15,7 @@ import pytest
 from brute import contamination as brute_contamination
 from brute import jaccard as brute_jaccard
 from brute import licenses as brute_licenses
+from brute import mixed_scores as brute_mixed
 from brute import quality_score as brute_quality
 from brute import repeats as brute_repeats
 from brute import words
@@ -255,6 +256,21 @@ def test_mixing_counts_do_not_depend_on_shards():
         assert {k: want[k] for k in bits.keys.tolist()} == dict(zip(bits.keys.tolist(), codes.reshape(-1, 8).tolist(), strict=True))
 
 
+def test_mixed_score_equals_plain_version(spark, rows, monkeypatch):
+    """The model's score, with the weights and the map that it learnt, from counts of whole contexts bit by bit."""
+    some = [(i, t) for i, t in rows if len(t or "") < 500][:50] + [(1000, None), (1001, ""), (1002, "Éa b! \U0001f600 x" + "y" * 300)]
+    learnt, real = [], mixing._score
+    monkeypatch.setattr(mixing, "_score", lambda sent: learnt.append(sent.value) or real(sent))
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 400)  # several shards
+    monkeypatch.setattr(mixing, "TOP_TOKENS", 100)  # tokens beyond the broadcast ones are joined
+    got = {r.doc_id: r.score for r in mixing.score_texts(spark.createDataFrame(some, "doc_id long, text string"), F.col("doc_id") % 10 != 0).collect()}
+    (weights, refined), = learnt
+    assert refined is not None and np.abs(weights[:, :-1] - 0.3).max() > 0.01
+    want = brute_mixed([t for _, t in some], [i % 10 != 0 for i, _ in some], weights, refined)
+    for (i, _), w in zip(some, want, strict=True):
+        assert got[i] == pytest.approx(w, rel=2e-4, abs=2e-3), i
+
+
 def test_mixing_edges(spark, awkward, nothing):
     got = mixing.score_texts(awkward, fold("doc_id", 10) != 0).collect()
     assert len(got) == len(AWKWARD) and all(r.score < 0 for r in got)
