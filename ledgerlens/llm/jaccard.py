@@ -201,6 +201,8 @@ def _prune(table: dict[int, int]):
 
     def run(batches):
         for group in _groups(batches, 3):
+            # In the order of ids, so that the buckets of one group of near copies give the same edges, which then count once.
+            group = group.take(pa.array(np.argsort(group["rep"].to_numpy(), kind="stable")))
             rep, block = group["rep"].to_numpy(), group["block"].to_numpy()
             if rep.size < 2:
                 continue
