@@ -15,6 +15,7 @@ once and remembered in a bounded cache.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,12 @@ class Words(dict):
         self.model = model
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.fromiter(self.model.stream(word), np.int32).tobytes()
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
+        if len(word) > LONGEST_WORD:
+            return np.fromiter(self.model.stream(word), np.int32).tobytes()
+        ids = array("i", self.model.short(word)).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -186,6 +188,42 @@ class PieceModel:
                     base = meet
         yield from self._path(back, at, base)
 
+    def short(self, word: str) -> list[int]:
+        """``stream`` for a word that is held whole: the same path, with nothing given out before its end."""
+        ends, pairs, joins, ids = self._ends, self._pairs, self._joins, self.ids
+        last: list[str | None] = [None]  # the last piece of the only path to each position
+        for at, c in enumerate(word):
+            node = ends.get(c)
+            if node is None:  # a character that ends no piece is one by itself
+                piece, start = c, at
+                if not pairs.get((last[at], c)) and not joins(last[at], c):
+                    return list(self.stream(word))
+            else:
+                piece, start = node.get("") or c, at
+                while True:
+                    if piece is not None:
+                        left = last[start]
+                        known = pairs.get((left, piece))
+                        if known or (known is None and joins(left, piece)):
+                            break
+                    start -= 1
+                    node = node.get(word[start]) if start >= 0 else None
+                    if node is None:
+                        return list(self.stream(word))
+                    piece = node.get("")
+            last.append(piece)
+        found, at = [], len(word)
+        while at:
+            piece = last[at]
+            i = ids.get(piece)
+            if i is not None:
+                found.append(i)
+            else:
+                found += [self.bytes[b] for b in reversed(piece.encode())]
+            at -= len(piece)
+        found.reverse()
+        return found
+
     @staticmethod
     def _meeting(back, live, base) -> int:
         """The last position that the paths to all live positions share."""

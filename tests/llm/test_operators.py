@@ -559,3 +559,18 @@ def test_nothing_else_imports_the_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert "llm" not in open(os.path.join(folder, n)).read()
+
+
+def test_short_words_take_the_direct_path(monkeypatch):
+    import random
+
+    from ledgerlens.llm.queries import PIECE_MODEL
+
+    model, r = pieces.PieceModel(PIECE_MODEL), random.Random(5)
+    words = ["".join(r.choice("abcdefinostu ▁▁eé中文\U0001f600\x00\x7f.19") for _ in range(r.randint(1, 64))) for _ in range(3000)]
+    assert [model.short(w) for w in words] == [list(model.stream(w)) for w in words]
+    text = "Some words of a text, with 中文 and \U0001f600 in it."
+    want = model.encode(text)
+    model.words.clear()
+    monkeypatch.setattr(model, "stream", None)  # not needed for words that are remembered
+    assert model.encode(text) == want == model.processor.encode(text)
