@@ -78,3 +78,25 @@ def test_rag_batch_plan(spark):
     assert "MapInArrow" in plan
     # a small question batch is broadcast: the corpus is scanned in place, not shuffled
     assert "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_many_questions_do_not_move_the_index(spark, monkeypatch):
+    """More questions than a broadcast may have: the index is still not shuffled."""
+    from ledgerlens.operators import knn as K
+    from ledgerlens.plans import rag
+    from ledgerlens.session import scratch_path
+
+    done = rag.ingest(A.ledger(spark, SF01), scratch_path(spark, "index"), scratch_path(spark, "cache"))
+    index = spark.read.parquet(done.path).repartition(spark.sparkContext.defaultParallelism)
+    index.write.parquet(done.path + "-parts")
+    index = spark.read.parquet(done.path + "-parts")
+    docs = A.table(spark, SF01, "documents").limit(200)
+    questions = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    want = sorted(map(tuple, rag.retrieve(questions, index).collect()))
+    monkeypatch.setattr(K.knn, "__defaults__", tuple(50 if x == K.QUERY_BLOCK_ROWS else x for x in K.knn.__defaults__))
+    df = rag.retrieve(questions, index)
+    plan = explain(df)
+    assert "FlatMapCoGroupsInArrow" not in plan
+    exchanges = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning") or "RoundRobinPartitioning" in line]
+    assert len(exchanges) == 1 and "query_id" in exchanges[0], exchanges
+    assert sorted(map(tuple, df.collect())) == want and len(want) == 1000
