@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from support import SF01, explain, nodes
 from pyspark.sql import functions as F
 
@@ -80,23 +81,48 @@ def test_rag_batch_plan(spark):
     assert "FlatMapCoGroupsInArrow" not in plan
 
 
-def test_many_questions_do_not_move_the_index(spark, monkeypatch):
-    """More questions than a broadcast may have: the index is still not shuffled."""
-    from ledgerlens.operators import knn as K
+@pytest.fixture(scope="module")
+def wide_index(spark):
+    """An index in as many files as there are cores, so that it is not spread."""
     from ledgerlens.plans import rag
     from ledgerlens.session import scratch_path
 
     done = rag.ingest(A.ledger(spark, SF01), scratch_path(spark, "index"), scratch_path(spark, "cache"))
-    index = spark.read.parquet(done.path).repartition(spark.sparkContext.defaultParallelism)
-    index.write.parquet(done.path + "-parts")
-    index = spark.read.parquet(done.path + "-parts")
+    spark.read.parquet(done.path).repartition(spark.sparkContext.defaultParallelism).write.parquet(done.path + "-parts")
+    return spark.read.parquet(done.path + "-parts")
+
+
+def few_per_broadcast(monkeypatch, n):
+    from ledgerlens.operators import knn as K
+
+    monkeypatch.setattr(K.knn, "__defaults__", tuple(n if x == K.QUERY_BLOCK_ROWS else x for x in K.knn.__defaults__))
+
+
+def test_many_questions_do_not_move_the_index(spark, wide_index, monkeypatch):
+    """More questions than a broadcast may have: the index is still not shuffled."""
+    from ledgerlens.plans import rag
+
     docs = A.table(spark, SF01, "documents").limit(200)
     questions = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
-    want = sorted(map(tuple, rag.retrieve(questions, index).collect()))
-    monkeypatch.setattr(K.knn, "__defaults__", tuple(50 if x == K.QUERY_BLOCK_ROWS else x for x in K.knn.__defaults__))
-    df = rag.retrieve(questions, index)
+    want = sorted(map(tuple, rag.retrieve(questions, wide_index).collect()))
+    few_per_broadcast(monkeypatch, 50)
+    df = rag.retrieve(questions, wide_index)
     plan = explain(df)
     assert "FlatMapCoGroupsInArrow" not in plan
     exchanges = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning") or "RoundRobinPartitioning" in line]
     assert len(exchanges) == 1 and "query_id" in exchanges[0], exchanges
     assert sorted(map(tuple, df.collect())) == want and len(want) == 1000
+
+
+def test_many_conversations_do_not_move_the_index(spark, wide_index, monkeypatch):
+    """The prompts of more conversations than a broadcast may have questions, in one part and in several."""
+    from ledgerlens.plans import rag
+
+    ask = lambda: rag.rag_batch(A.table(spark, SF01, "conversations"), wide_index, dt.datetime(2026, 1, 1))
+    want = sorted(map(tuple, ask().collect()))
+    for n in (20, 5):  # parts hold four times as many
+        few_per_broadcast(monkeypatch, n)
+        df = ask()
+        assert "FlatMapCoGroupsInArrow" not in explain(df)
+        assert sorted(map(tuple, df.collect())) == want and len(want) == 46
+        monkeypatch.undo()
